@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 # Patterns that decide results. WS is Unicode white space, spelled out because
 # Java's \s is ASCII only.
-WS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TOKEN = r"[a-z0-9]+(?:-[a-z0-9]+)*"
 WORD = r"[a-z0-9]+"
 QUERY_WORD = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"
@@ -23,7 +23,7 @@ NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 GROUPING = r"(?<=[0-9]),(?=[0-9]{2,3}\b)"
 MARKER = rf"\[(?:C[0-9]+)(?:{WS}*,{WS}*C[0-9]+)*\]"
 LIST_NUMBER = rf"(?m)(^|[.!?]{WS}+)[0-9]+[.)]{WS}"
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
 TOKEN_UNIT = r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"
 
 #: How long a text is, in tokens. Any `Column -> Column` can stand in for the default.
@@ -84,9 +84,7 @@ def numbers(text: Column) -> Column:
     return F.array_distinct(
         F.transform(
             found,
-            lambda n: F.when(
-                F.regexp_replace(n, "^0+", "") == "", F.lit("0")
-            ).otherwise(F.regexp_replace(n, "^0+", "")),
+            lambda n: F.coalesce(F.nullif(F.regexp_replace(n, "^0+", ""), F.lit("")), F.lit("0")),
         )
     )
 
@@ -97,7 +95,7 @@ def letters(text: Column) -> Column:
 
 
 def overlap_share(part: Column, whole: Column) -> Column:
-    """|part ∩ whole| / |part| over word sets; 0 when `part` is empty."""
+    """|part AND whole| / |part| over word sets; 0 when `part` is empty."""
     return F.when(
         F.size(part) > 0, F.size(F.array_intersect(part, whole)) / F.size(part)
     ).otherwise(F.lit(0.0))
@@ -111,7 +109,7 @@ CONFUSIONS = (
     ("％", "%"), ("／", "/"), ("‘", "'"), ("’", "'"),
     ("“", '"'), ("”", '"'), ("　", " "),
 )
-CJK = r"[⺀-鿿가-퟿＀-￯]"
+CJK = r"[\x{2e80}-\x{9fff}\x{ac00}-\x{d7ff}\x{ff00}-\x{ffef}]"
 
 
 def clean_recognised(text: Column) -> Column:

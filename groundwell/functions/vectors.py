@@ -16,7 +16,12 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """Scale to length one; the zero vector stays as it is."""
-    return F.when(norm(v) == 0, v).otherwise(F.transform(v, lambda x: x / norm(v)))
+    # The one-element array binds the length once instead of once per component.
+    scaled = F.transform(
+        F.array(norm(v)),
+        lambda n: F.when(n == 0, v).otherwise(F.transform(v, lambda x: F.try_divide(x, n))),
+    )
+    return F.get(scaled, F.lit(0))
 
 
 def blend(query: Column, mean: Column, weight: float | Column) -> Column:
