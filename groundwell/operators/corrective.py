@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lexical import best_per_question
+from .lexical import ranked
 from .rerank import Scorer, overlap_scorer, score_pool
 
 
@@ -28,9 +28,9 @@ def merge_retry(
         .unionByName(fresh.withColumn("_pass", F.lit(1)).withColumn("_at", F.col("rank")), allowMissingColumns=True)
     )
     order = [F.desc_nulls_last("rerank_score"), F.asc("_pass"), F.asc("_at"), F.asc(item)]
-    return best_per_question(pool.drop("place"), 2**31 - 1, order, rank="place").withColumn(
-        "is_new", F.col("_pass") == 1
-    ).drop("_pass", "_at")
+    return ranked(pool.drop("place"), order, "place").withColumn("is_new", F.col("_pass") == 1).drop(
+        "_pass", "_at"
+    )
 
 
 def retry_report(first: DataFrame, merged: DataFrame) -> DataFrame:

@@ -121,6 +121,11 @@ def best_per_question(scored: DataFrame, k: int, order: list[Column], rank: str
     return scored.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+def ranked(rows: DataFrame, order: list[Column], rank: str) -> DataFrame:
+    """Number all rows of each question in the given order."""
+    return rows.withColumn(rank, F.row_number().over(W.partitionBy("qid").orderBy(*order)))
+
+
 def bm25_topk(
     corpus: Corpus,
     questions: DataFrame,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap_share, words
-from .lexical import best_per_question
+from .lexical import ranked
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -30,5 +30,4 @@ def score_pool(pool: DataFrame, scorer: Scorer = overlap_scorer) -> DataFrame:
 def rerank(pool: DataFrame, scorer: Scorer = overlap_scorer) -> DataFrame:
     """Scores a pool and orders it: scored before unscored, best first, fused order within ties."""
     order = [F.desc_nulls_last("rerank_score"), F.asc("rank")]
-    scored = score_pool(pool, scorer)
-    return best_per_question(scored, 2**31 - 1, order, rank="place")
+    return ranked(score_pool(pool, scorer), order, "place")
