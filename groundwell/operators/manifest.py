@@ -55,12 +55,12 @@ def text_title(text: Column, filename: Column) -> Column:
 
 def indexed(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
     """Listed documents that contributed chunks."""
-    return manifest.join(chunks.select("doc_id"), "doc_id", "left_semi")
+    return manifest.join(chunks.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def skipped(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
     """Listed documents that contributed none."""
-    return manifest.join(chunks.select("doc_id"), "doc_id", "left_anti")
+    return manifest.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def ingest_report(sections: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,0 +1,21 @@
+"""Account tables kept in a relational database, read through JDBC."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def read_table(
+    spark: SparkSession, url: str, table: str, properties: dict[str, str] | None = None,
+    split_on: str | None = None, bounds: tuple[str, str] | None = None, parts: int = 1,
+) -> DataFrame:
+    """A table through JDBC. Give a column and its bounds to read it in parallel parts."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    for name, value in (properties or {}).items():
+        reader = reader.option(name, value)
+    if split_on and bounds:
+        reader = (
+            reader.option("partitionColumn", split_on).option("numPartitions", parts)
+            .option("lowerBound", bounds[0]).option("upperBound", bounds[1])
+        )
+    return reader.load()
