@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,7 +117,10 @@ def _question_vectors(asked: DataFrame, providers: Providers, settings: Settings
 def retrieve(
     asked: DataFrame, index: Index, providers: Providers, settings: Settings
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """First pass, wide pass (both with question and passage columns), and the orphan hits."""
+    """First pass, wide pass (both with question and passage columns), and the orphan hits.
+
+    Question ids are text without '#'. Both passes of a question are two rows of one dense search.
+    """
     deep = max(settings.retrieve_k, settings.corrective_k)
     lexical_hits = cut_lineage(
         lexical.bm25_topk(index.corpus, asked.select("qid", "rewritten"), deep, text="rewritten")
@@ -124,17 +128,15 @@ def retrieve(
     )
     vectors, differ = _question_vectors(asked, providers, settings)
     vectors = cut_lineage(vectors)
-    tagged = vectors.select(
-        F.struct(F.col("qid"), F.lit(0).alias("wide")).alias("qid"), F.col("first").alias("vector")
+    sides = [("first", "0")] + ([("wide", "1")] if differ else [])
+    tagged = reduce(
+        DataFrame.unionByName,
+        [vectors.select(F.concat_ws("#", "qid", F.lit(n)).alias("qid"), F.col(c).alias("vector")) for c, n in sides],
     )
-    if differ:
-        tagged = tagged.unionByName(
-            vectors.select(F.struct(F.col("qid"), F.lit(1).alias("wide")).alias("qid"), F.col("wide").alias("vector"))
-        )
     dense = cut_lineage(
-        cosine_topk(tagged.withColumn("qid", F.to_json("qid")), index.vectors, deep, "chunk_id")
-        .join(tagged.select(F.col("qid.qid").alias("_q"), F.col("qid.wide").alias("wide"), F.to_json("qid").alias("qid")), "qid")
-        .select(F.col("_q").alias("qid"), "wide", "chunk_id", "distance", "rank")
+        cosine_topk(tagged, index.vectors, deep, "chunk_id")
+        .withColumn("wide", F.split_part("qid", F.lit("#"), F.lit(2)).cast("int"))
+        .withColumn("qid", F.split_part("qid", F.lit("#"), F.lit(1)))
     )
     second = dense.where(F.col("wide") == (1 if differ else 0)).drop("wide")
     first = dense.where(F.col("wide") == 0).drop("wide")

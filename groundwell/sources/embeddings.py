@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import embedding_key
 from ..operators.skew import skew_safe_join
@@ -39,7 +40,7 @@ def hashing_embedder(dim: int = 64) -> Callable[[Column], Column]:
     """Column function text -> vector; tokens are cut in the JVM, hashing runs on Arrow batches."""
     from ..functions.text import tokens
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def embed(token_lists: pd.Series) -> pd.Series:
         return pd.Series(hashed_vectors(token_lists, dim))
 
