@@ -262,13 +262,13 @@ def _embeddings(spark, sf) -> DataFrame:
 @query
 def vector_mean_by_label(spark, sf):
     means = dense.mean_unit_vector(_embeddings(spark, sf), "label", "embedding")
-    return unroll(means, "mean", "x", "pos").select("label", "pos", F.round("x", 6).alias("x"))
+    return unroll(means, "mean", "x", "pos").select("label", "pos", (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query
 def unit_vectors(spark, sf):
     units = _embeddings(spark, sf).select("vec_id", vectors.unit(vectors.as_double(F.col("embedding"))).alias("u"))
-    return unroll(units, "u", "x", "pos").select("vec_id", "pos", F.round("x", 6).alias("x"))
+    return unroll(units, "u", "x", "pos").select("vec_id", "pos", (F.round("x", 6) + 0.0).alias("x"))
 
 
 def _stored(spark, sf) -> DataFrame:
@@ -459,7 +459,7 @@ def output_gate_verdicts(spark, sf):
 
 @query
 def refusal_messages(spark, sf):
-    checked = output_gate.validate(drafted_answers(spark, sf))
+    checked = cut_lineage(output_gate.validate(drafted_answers(spark, sf)).select("reason"))
     return checked.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")).select(
         "reason", "n", wording.refusal_text(F.col("reason")).alias("message")
     )
@@ -504,7 +504,7 @@ def _results(spark, sf) -> DataFrame:
         F.col("doc_id").alias("id"), bucket.alias("bucket"), answered.alias("answered"),
         F.when(~answered, reason).alias("refusal_reason"), (F.col("n_chars") % 3).alias("n_citations"),
         F.when(F.col("n_chars") % 4 > 0, F.col("n_chars") % 4 > 1).alias("hit"),
-        (F.col("n_chars") % 21 / 2).alias("score"),
+        F.when(bucket == "unanswerable", F.col("n_chars") % 11 / 2).otherwise(F.col("n_chars") % 17 / 2 + 2).alias("score"),
     )
 
 
@@ -525,7 +525,7 @@ def retrieval_hit(spark, sf):
     cases = questions(spark, sf).select(
         F.col("qid").alias("id"),
         F.when(F.col("qid") % 4 == 0, F.concat(F.lit("SRC"), (F.col("qid") % 20).cast("string"))).alias("expect_source"),
-        F.when(F.col("qid") % 4 > 0, F.upper("text")).alias("expect_text"),
+        F.when(F.col("qid") % 4 > 0, F.col("text")).alias("expect_text"),
     )
     docs = table(spark, sf, "documents", "doc_id", "source", "text")
     hits = cut_lineage(_lexical(spark, sf, SETTINGS.rerank_top_n))

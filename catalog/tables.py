@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundwell.functions.bind import unroll
 from groundwell.functions.keys import iso_millis
 from groundwell.functions.text import sentences, strip
+from groundwell.session import cut_lineage
 
 
 def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
@@ -42,13 +43,13 @@ def typeset_lines(spark: SparkSession, sf: str) -> DataFrame:
         docs.select("doc_id", F.split("text", "\n").alias("_l")), "_l", "raw", "at"
     ).select("doc_id", F.col("at").cast("bigint").alias("line_no"), strip(F.col("raw")).alias("text"))
     n = F.length("text")
-    return rows.where(F.col("text") != "").select(
+    return cut_lineage(rows.where(F.col("text") != "").select(
         "doc_id", "line_no", "text",
         (F.floor(F.col("line_no") / 8) + 1).cast("int").alias("page"),
         F.when(n % 7 == 0, 14.0).when(n % 5 == 0, 12.0).when(n % 3 == 0, 11.0).otherwise(10.0).alias("size"),
         (n % 2 == 0).alias("bold"),
         F.when(n % 4 == 0, 1).otherwise(3).alias("block_lines"),
-    )
+    ))
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:

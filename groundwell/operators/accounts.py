@@ -114,7 +114,8 @@ def clear_history(turns: DataFrame, owners: DataFrame) -> DataFrame:
 
 def read_citations(stored: Column) -> Column:
     """Stored citation text as an array; text that cannot be read gives an empty one."""
-    return F.coalesce(F.from_json(stored, CITATIONS), F.array().cast(CITATIONS))
+    listed = F.when(F.json_array_length(stored).isNotNull(), F.from_json(stored, CITATIONS))
+    return F.coalesce(listed, F.array().cast(CITATIONS))
 
 
 def as_turns(responses: DataFrame) -> DataFrame:

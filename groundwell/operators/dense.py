@@ -44,7 +44,7 @@ def _nearest(questions: np.ndarray, stored: np.ndarray, ids: np.ndarray, k: int)
     id_rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
     keep = min(k, len(ids))
     for start in range(0, len(questions), QUESTION_BLOCK):
-        distance = np.round(1.0 - questions[start : start + QUESTION_BLOCK] @ stored.T, DIGITS)
+        distance = np.round(1.0 - questions[start : start + QUESTION_BLOCK] @ stored.T, DIGITS) + 0.0
         order = np.rint(distance * 10**DIGITS).astype(np.int64) * len(ids) + id_rank
         chosen = (
             np.argpartition(order, keep - 1, axis=1)[:, :keep]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bind import offset, unroll
 from ..functions.text import strip
+from ..session import cut_lineage
 from .headings import (
     CHAPTER_RATIO,
     PATH_SEPARATOR,
@@ -88,7 +89,7 @@ def headed_lines(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
         .withColumn("resets", F.col("is_heading") & F.col("_leads") & (F.col("size") >= F.col("body") * CHAPTER_RATIO))
         .withColumn("_one", F.col("is_heading").cast("long"))
     )
-    return offset(marked, ["doc_id"], "page", ["line_no"], "_one", "section").drop("_one", "_leads")
+    return offset(cut_lineage(marked), ["doc_id"], "page", ["line_no"], "_one", "section").drop("_one", "_leads")
 
 
 def raw_sections(headed: DataFrame) -> DataFrame:
@@ -189,7 +190,7 @@ def fold_short(sections: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """doc_id, seq, path, page_start, page_end, text, heading_level."""
-    return fold_short(raw_sections(headed_lines(lines, pages)))
+    return fold_short(cut_lineage(raw_sections(headed_lines(lines, pages))))
 
 
 def document_sizes(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
