@@ -786,3 +786,26 @@ told AS (SELECT q.qid, q.intent, v.action, t.top_score, g.final, g.cited,
   FROM screened q LEFT JOIN verdict v USING (qid) LEFT JOIN tops t USING (qid) LEFT JOIN gated g USING (qid))
 SELECT qid, why IS NULL AS answered, why AS refusal_reason, top_score, coalesce(message, final) AS answer,
   CASE WHEN why IS NULL THEN cited ELSE '' END AS cited, action AS first_action FROM told LEFT JOIN m USING (why)"""
+
+# --- streams ------------------------------------------------------------------------------------
+
+SQL["stream_window_counts"] = """
+SELECT user_id, (epoch_us(ts) // 1000000 // 3600)::BIGINT AS "window", count(*) AS n FROM events GROUP BY ALL"""
+
+SQL["stream_first_requests"] = """
+SELECT DISTINCT user_id || '|' || event_type || '|' || strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS request FROM events"""
+
+SQL["stream_pruned_turns"] = f"""
+WITH {_TURNS} SELECT user_id, id FROM turns QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) > 50"""
+
+SQL["stream_breaker"] = """
+WITH RECURSIVE c AS (SELECT user_id, event_id, value > 20 AS failed, epoch_us(ts) AS t,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+w AS (SELECT user_id, 0::BIGINT AS r, 0 AS failures, 0::BIGINT AS closed, 0::BIGINT AS event_id, true AS attempted, false AS opened
+    FROM (SELECT DISTINCT user_id FROM c)
+  UNION ALL
+  SELECT c.user_id, c.r, CASE WHEN c.t < w.closed THEN w.failures WHEN NOT c.failed OR w.failures = 2 THEN 0 ELSE w.failures + 1 END,
+    CASE WHEN c.t >= w.closed AND c.failed AND w.failures = 2 THEN c.t + 60000000 ELSE w.closed END,
+    c.event_id, c.t >= w.closed, c.t >= w.closed AND c.failed AND w.failures = 2
+  FROM w JOIN c ON c.user_id = w.user_id AND c.r = w.r + 1)
+SELECT user_id, event_id, attempted, opened FROM w WHERE r > 0"""

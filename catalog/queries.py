@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +32,8 @@ from groundwell.operators.intent import rule_screen
 from groundwell.operators.rerank import rerank
 from groundwell.operators.rewrite import rewrite
 from groundwell.plans import answer as answering
-from groundwell.session import cut_lineage
+from groundwell.session import cut_lineage, scratch_folder
+from groundwell.streaming import jobs
 
 from .tables import documents, drafted_answers, questions, spread, table, turns, typeset_lines
 
@@ -764,3 +765,50 @@ def question_dedupe(spark, sf):
     talk = spread(table(spark, sf, "conversations"))
     key = keys.cache_key(F.lower(text.squeeze(F.col("text"))), F.lit("True"))
     return talk.groupBy(key.alias("response_key")).agg(F.count("*").alias("n"))
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def _event_stream(spark, sf) -> DataFrame:
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    return stream.option("maxBytesPerTrigger", "8g").parquet(sf)
+
+
+def _drained(spark, stream, key, mode="append") -> DataFrame:
+    """Run a stream over what is there, through a table in the shared folder."""
+    folder = f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
+    jobs.write_batches(stream, f"{folder}/table", f"{folder}/state", mode).awaitTermination()
+    return jobs.latest_rows(spark, f"{folder}/table", key)
+
+
+@query
+def stream_window_counts(spark, sf):
+    counts = jobs.quota_counts(_event_stream(spark, sf), 3600, subject="user_id")
+    return _drained(spark, counts, ["user_id", "window"], "update")
+
+
+@query
+def stream_first_requests(spark, sf):
+    """Events of one user, type and hour are repeats of one request."""
+    events = _event_stream(spark, sf).withColumn(
+        "request", F.concat_ws("|", F.col("user_id").cast("string"), "event_type", F.date_trunc("hour", "ts").cast("string"))
+    )
+    kept = jobs.first_requests(events, "request", "40 days").select("request")
+    return _drained(spark, kept, ["request"])
+
+
+@query
+def stream_breaker(spark, sf):
+    """Events as calls of their user, those of a high value failing."""
+    calls = _event_stream(spark, sf).withColumn("failed", F.col("value") > 20)
+    return _drained(spark, jobs.breaker(calls, "user_id", "ts", "failed", "event_id"), ["user_id", "event_id"])
+
+
+@query
+def stream_pruned_turns(spark, sf):
+    rows = _event_stream(spark, sf).select(
+        "user_id", F.format_string("%012d", "event_id").alias("id"), keys.iso_millis(F.col("ts")).alias("created_at")
+    )
+    return _drained(spark, jobs.pruned_turns(rows, 50), ["user_id", "id"])

@@ -76,7 +76,8 @@ class Providers:
 @dataclass(frozen=True)
 class Index:
     """Passages (chunk_id, doc_id, title, section_path, page_start, page_end, source_url, text),
-    their lexical corpus and their vectors (chunk_id, vector)."""
+    their lexical corpus and their vectors (chunk_id, vector). Vectors that also carry the passage
+    columns stay citable where the local corpus has lost the passage."""
 
     passages: DataFrame
     corpus: lexical.Corpus
@@ -149,13 +150,16 @@ def retrieve(
         settings.rrf_k, "chunk_id",
     )
     pool = cut_lineage(near.withColumn("wide", F.lit(False)).unionByName(far.withColumn("wide", F.lit(True))))
-    found = index.passages.join(
-        broadcast_if_small(pool.select("chunk_id").distinct()), "chunk_id", "left_semi"
-    )
+    wanted = broadcast_if_small(pool.select("chunk_id").distinct())
+    local = index.passages.join(wanted, "chunk_id", "left_semi")
+    lost = orphans(pool.where(~F.col("wide")).select("qid", "chunk_id"), local, "chunk_id")
+    found, columns = local, index.passages.columns
+    if set(columns) <= set(index.vectors.columns):
+        stray = index.vectors.select(*columns).join(wanted, "chunk_id", "left_semi")
+        found = local.unionByName(stray.join(local.select("chunk_id"), "chunk_id", "left_anti"))
     filled = cut_lineage(
         pool.join(found, "chunk_id").join(asked.select("qid", F.col("question")), "qid")
     )
-    lost = orphans(pool.where(~F.col("wide")).select("qid", "chunk_id"), found, "chunk_id")
     return filled.where(~F.col("wide")).drop("wide"), filled.where("wide").drop("wide"), lost
 
 

@@ -40,6 +40,14 @@ def _shared_folder(spark: SparkSession) -> str | None:
     return None
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder every executor can reach, for tables that outlive one plan."""
+    folder = _shared_folder(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared checkpoint folder and continue from there.
 
