@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,16 +20,18 @@ EMBED_BATCH = 128  # fixed value: texts per provider call
 EmbedBatch = Callable[[list[str]], np.ndarray]
 
 
-@lru_cache(maxsize=200_000)
-def _slot(token: str) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
-
-
 def hashed_vectors(token_lists, dim: int) -> list[np.ndarray]:
     """Signed feature hashing of tokens: the offline stand-in for an embedding model."""
+    known: dict[str, int] = {}
+
+    def slot(token: str) -> int:
+        if token not in known:
+            known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+        return known[token]
+
     out = []
     for tokens in token_lists:
-        slots = np.array([_slot(t) for t in tokens], dtype=np.int64)
+        slots = np.array([slot(t) for t in tokens], dtype=np.int64)
         signs = np.where((slots // dim) % 2 == 0, 1.0, -1.0)
         out.append(np.bincount(slots % dim, weights=signs, minlength=dim).astype(np.float64))
     return out
