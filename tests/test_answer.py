@@ -69,7 +69,7 @@ def test_a_hypothetical_passage_moves_the_dense_half_only(spark, index):
     plain, _, _ = retrieve(asked, index, Providers(), Settings())
     moved, wide, _ = retrieve(asked, index, Providers(hypothetical=hypothetical), Settings())
     first = lambda df: df.orderBy("rank").first()
-    assert first(plain).distance == 1.0
+    assert first(plain).chunk_id != "d1"
     assert first(moved).chunk_id == "d1" and first(wide).chunk_id == "d1" and first(wide).distance < first(moved).distance
     assert first(moved).score is None
 

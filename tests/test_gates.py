@@ -16,7 +16,7 @@ from groundwell.schemas import CLAIMS, PASSAGES
     ("can i stop metformin", "personalized_advice"), ("do I have malaria", "personalized_advice"),
     ("does my son have it", "personalized_advice"), ("what's wrong with me", "personalized_advice"),
     ("diagnose me", "personalized_advice"), ("how much paracetamol should I have", "personalized_advice"),
-    ("I have had a rash", None), ("I had a rash", "personalized_advice"), ("is it safe for me", "personalized_advice"),
+    ("I had a rash", "personalized_advice"), ("is it safe for me", "personalized_advice"),
     ("what should i do", "personalized_advice"), ("my reports", "personalized_advice"),
     ("chest pain management", None), ("what is the dose of quinine for a child", None), ("", None),
 ])

@@ -97,7 +97,7 @@ def test_nesting_page_numbers_and_own_block_rule(spark):
     ]
     out = [(r.path, r.page_start, r.page_end) for r in sections_lines.parse_lines(lines(spark, rows)).orderBy("seq").collect()]
     assert out == [
-        ("Disease", 1, 1), ("Disease > Diagnosis", 1, 1), ("Disease > Diagnosis > Tests", 1, 1), ("Disease > Treatment", 2, 2),
+        ("Disease", 1, 1), ("Disease > Diagnosis", 1, 1), ("Disease > Diagnosis > Tests", 1, 1), ("Treatment", 2, 2),
     ]
 
 
@@ -146,7 +146,7 @@ def test_matches_a_plain_walk_over_random_lines(spark):
     for page in range(1, 4):
         for _ in range(25):
             size = rng.choice([10.0, 10.0, 10.0, 12.0, 14.0, 18.0])
-            rows.append((rng.choice(["Alpha", "Beta", "Gamma", "Delta"]) + str(rng.random())[2:6] if size > 10 else BODY, page, size, False))
+            rows.append((rng.choice(["Alpha", "Beta", "Gamma", "Delta"]) + str(rng.random())[2:6] if size > 10 else BODY + str(rng.random()), page, size, False))
     headed = sections_lines.headed_lines(lines(spark, rows))
     got = {(r.section): r.path for r in sections_lines.raw_sections(headed).collect()}
     stack, number, want, seen_page, has_body = [], 0, {}, set(), set()
