@@ -8,9 +8,10 @@ from groundwell.operators.intent import ADVICE_RULES, EMERGENCY_RULES
 from groundwell.operators.output_gate import FRAMING_PHRASES
 from groundwell.operators.rewrite import AMBIGUOUS, GLOSSARY
 from groundwell.operators.wording import REFUSALS
-from groundwell.functions.text import CONFUSIONS, TOKEN_UNIT
+from groundwell.functions.text import CONFUSIONS
 
 S = Settings()
+TOKEN_UNIT = r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"
 SQL: dict[str, str] = {}
 
 

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 # Patterns that decide results. WS is Unicode white space, spelled out because
 # Java's \s is ASCII only.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS_CHARS = "".join(
+    chr(c)
+    for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 TOKEN = r"[a-z0-9]+(?:-[a-z0-9]+)*"
 WORD = r"[a-z0-9]+"
 QUERY_WORD = r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*"
@@ -24,7 +29,6 @@ GROUPING = r"(?<=[0-9]),(?=[0-9]{2,3}\b)"
 MARKER = rf"\[(?:C[0-9]+)(?:{WS}*,{WS}*C[0-9]+)*\]"
 LIST_NUMBER = rf"(?m)(^|[.!?]{WS}+)[0-9]+[.)]{WS}"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
-TOKEN_UNIT = r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"
 
 #: How long a text is, in tokens. Any `Column -> Column` can stand in for the default.
 TokenCounter = Callable[[Column], Column]
@@ -36,7 +40,7 @@ def _find_all(text: Column, pattern: str) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space on both ends (Spark's `trim` takes spaces only)."""
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def squeeze(text: Column) -> Column:
@@ -55,8 +59,12 @@ def words(text: Column) -> Column:
 
 
 def count_tokens(text: Column) -> Column:
-    """Offline token count: runs of letters and digits, and each other visible character."""
-    return F.regexp_count(text, F.lit(TOKEN_UNIT))
+    """Offline token count: runs of letters and digits, and each other visible character.
+
+    Every run shrinks to one character and white space goes, so what is left is as long as the
+    count; that builds no array of matches.
+    """
+    return F.length(F.regexp_replace(F.regexp_replace(text, "[A-Za-z0-9]+", "x"), r"\s+", ""))
 
 
 def _non_blank(parts: Column) -> Column:

@@ -108,14 +108,15 @@ def chunk_sections(
         settings.chunk_min_tokens,
         counter,
     )
+    # Counted before the rows are dealt out: a filter on a computed column would count twice.
+    counted = F.transform(
+        packed, lambda p: F.struct(p.alias("text"), counter(p).cast("int").alias("n_tokens"))
+    )
     kept = [c for c in sections.columns if c not in ("text", "heading_level")]
-    rows = unroll(sections.select(*kept, packed.alias("_pieces")), "_pieces", "text", "piece")
-    return (
-        rows.withColumn("n_tokens", counter(F.col("text")).cast("int"))
-        .where(F.col("n_tokens") >= settings.chunk_drop_below_tokens)
-        .withColumn(
-            "chunk_id", F.format_string("%s::%04d::%02d", F.col("doc_id").cast("string"), "seq", "piece")
-        )
+    rows = unroll(sections.select(*kept, counted.alias("_pieces")), "_pieces", "_p", "piece")
+    return rows.where(F.col("_p.n_tokens") >= settings.chunk_drop_below_tokens).select(
+        *kept, "piece", "_p.text", "_p.n_tokens",
+        F.format_string("%s::%04d::%02d", F.col("doc_id").cast("string"), "seq", "piece").alias("chunk_id"),
     )
 
 

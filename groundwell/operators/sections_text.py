@@ -77,17 +77,16 @@ def heading_levels(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def parse_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_pages, n_chars and an ordered `sections` array per document."""
-    heads = F.filter(
-        F.transform(
-            F.col("lines"),
-            lambda ln, i: F.struct(
-                i.alias("at"),
-                ln["level"].cast("double").alias("rank"),
-                text_title(ln["text"]).alias("title"),
-                ln["page"].alias("page"),
-            ),
+    marked = F.filter(
+        F.transform(F.col("lines"), lambda ln, i: F.struct(i.alias("at"), ln.alias("ln"))),
+        lambda m: m["ln"]["level"] > 0,
+    )
+    heads = F.transform(
+        marked,
+        lambda m: F.struct(
+            m["at"].alias("at"), m["ln"]["level"].cast("double").alias("rank"),
+            text_title(m["ln"]["text"]).alias("title"), m["ln"]["page"].alias("page"),
         ),
-        lambda h: h["rank"] > 0,
     )
     titled = F.zip_with(
         F.col("heads"),
