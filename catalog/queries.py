@@ -32,7 +32,7 @@ from groundwell.operators.intent import rule_screen
 from groundwell.operators.rerank import rerank
 from groundwell.operators.rewrite import rewrite
 from groundwell.plans import answer as answering
-from groundwell.session import cut_lineage, scratch_folder
+from groundwell.session import broadcast_if_small, cut_lineage, scratch_folder
 from groundwell.streaming import jobs
 
 from .tables import documents, drafted_answers, questions, spread, table, turns, typeset_lines
@@ -369,7 +369,7 @@ def _pools(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Reranked first pass and the wider retrieval, both with question and passage."""
     hits = cut_lineage(_lexical(spark, sf, WIDE_K))
     asked = questions(spark, sf).select("qid", F.col("text").alias("question"))
-    wanted = F.broadcast(hits.select("doc_id").distinct()) if hits.count() < 1_000_000 else hits.select("doc_id").distinct()
+    wanted = broadcast_if_small(hits.select("doc_id").distinct())
     passages = table(spark, sf, "documents", "doc_id", "text").join(wanted, "doc_id", "left_semi")
     wide = hits.join(passages, "doc_id").join(asked, "qid").select("qid", "doc_id", "rank", "question", "text")
     wide = cut_lineage(wide)

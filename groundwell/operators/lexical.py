@@ -53,9 +53,19 @@ def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     )
 
 
-def vocabulary(posts: DataFrame) -> DataFrame:
-    """term, df, cf: in how many documents and how often a term occurs."""
-    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def vocabulary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """term, df, n_tokens: in how many documents a term occurs; n_tokens sums to the corpus size.
+
+    Each document sends every distinct term once, and its length with the first of them, so the
+    counts need no shuffle by document and are combined before the one by term.
+    """
+    rows = docs.select(tokens(F.col(text)).alias("_t")).select(
+        F.size("_t").alias("dl"), F.array_distinct("_t").alias("_distinct")
+    )
+    length = F.when(F.col("at") == 0, F.col("dl")).otherwise(0)
+    return unroll(rows, "_distinct", "term", "at").groupBy("term").agg(
+        F.count("*").alias("df"), F.sum(length).alias("n_tokens")
+    )
 
 
 def token_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,14 +80,13 @@ def token_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def build_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Corpus:
     """Tokenise and count. The vocabulary is written once; only three totals reach the driver."""
-    posts = postings(docs, doc_id, text)
-    vocab = cut_lineage(vocabulary(posts))
+    vocab = cut_lineage(vocabulary(docs, doc_id, text))
     n_docs = docs.count()
     totals = vocab.agg(
-        F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"),
+        F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"),
         F.coalesce(F.avg(raw_idf(F.col("df"), n_docs)), F.lit(0.0)).alias("mean_idf"),
     ).first()
-    return Corpus(posts, vocab, n_docs, int(totals["n_tokens"]), float(totals["mean_idf"]))
+    return Corpus(postings(docs, doc_id, text), vocab, n_docs, int(totals["n_tokens"]), float(totals["mean_idf"]))
 
 
 def corpus_idf(corpus: Corpus) -> DataFrame:
