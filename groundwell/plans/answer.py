@@ -120,6 +120,7 @@ def retrieve(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """First pass, wide pass (both with question and passage columns), and the orphan hits.
 
+    `asked` (qid, question, rewritten) is read several times, so pass it with its lineage cut.
     Question ids are text without '#'. Both passes of a question are two rows of one dense search.
     """
     deep = max(settings.retrieve_k, settings.corrective_k)
