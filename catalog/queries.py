@@ -773,7 +773,7 @@ def question_dedupe(spark, sf):
 def _event_stream(spark, sf) -> DataFrame:
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return stream.option("maxBytesPerTrigger", "8g").parquet(sf)
+    return stream.option("maxBytesPerTrigger", 8 << 30).parquet(sf)
 
 
 def _drained(spark, stream, key, mode="append") -> DataFrame:

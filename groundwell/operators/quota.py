@@ -57,14 +57,14 @@ def window_counts(requests: DataFrame, limit: int, width_s: int, subject: str =
 def failure_runs(calls: DataFrame, failed: str = "failed", subject: str = "subject", ts: str = "ts", key: str = "id") -> DataFrame:
     """subject, run_start, run_end, failures, trips: unbroken runs of failed calls.
 
-    A run is named by the number of successes before it. Those are summed per day first, then
-    over days, so a busy subject is spread over its days.
+    A run is named by the number of successes before it. Those are summed per hour first, then
+    over hours, so a busy subject is spread over its hours.
     """
     marked = calls.select(
-        subject, ts, key, F.col(failed).alias("_failed"), F.to_date(ts).alias("_day"),
+        subject, ts, key, F.col(failed).alias("_failed"), F.date_trunc("hour", ts).alias("_hour"),
         (~F.col(failed)).cast("long").alias("_ok"),
     )
-    runs = offset(marked, [subject], "_day", [ts, key], "_ok", "_run")
+    runs = offset(marked, [subject], "_hour", [ts, key], "_ok", "_run")
     return (
         runs.where("_failed").groupBy(subject, "_run")
         .agg(F.min(ts).alias("run_start"), F.max(ts).alias("run_end"), F.count("*").alias("failures"))

@@ -152,14 +152,14 @@ def retrieve(
     )
     pool = cut_lineage(near.withColumn("wide", F.lit(False)).unionByName(far.withColumn("wide", F.lit(True))))
     wanted = broadcast_if_small(pool.select("chunk_id").distinct())
-    local = index.passages.join(wanted, "chunk_id", "left_semi")
+    local = cut_lineage(index.passages.join(wanted, "chunk_id", "left_semi"))
     lost = orphans(pool.where(~F.col("wide")).select("qid", "chunk_id"), local, "chunk_id")
     found, columns = local, index.passages.columns
     if set(columns) <= set(index.vectors.columns):
         stray = index.vectors.select(*columns).join(wanted, "chunk_id", "left_semi")
         found = local.unionByName(stray.join(local.select("chunk_id"), "chunk_id", "left_anti"))
     filled = cut_lineage(
-        pool.join(found, "chunk_id").join(asked.select("qid", F.col("question")), "qid")
+        skew_safe_join(pool, found, "chunk_id").join(asked.select("qid", F.col("question")), "qid")
     )
     return filled.where(~F.col("wide")).drop("wide"), filled.where("wide").drop("wide"), lost
 
