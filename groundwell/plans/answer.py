@@ -192,7 +192,7 @@ def answer(
 
     first, wide, lost = retrieve(live, index, providers, settings)
     scored = cut_lineage(rerank(first, providers.scorer))
-    verdict = confidence.verdicts(scored, live, settings)
+    verdict = cut_lineage(confidence.verdicts(scored, live, settings))
     again = verdict.where(F.col("action") == "correct").select("qid")
     merged = cut_lineage(
         corrective.merge_retry(
