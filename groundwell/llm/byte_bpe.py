@@ -27,7 +27,7 @@ REMEMBERED = 500_000
 LONG, NONE = 256, 1 << 62
 
 
-def read_ranks(spark, path: str) -> dict[bytes, int]:
+def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a vocabulary file, read on the driver; tens of thousands of lines."""
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}

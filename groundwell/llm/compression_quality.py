@@ -99,6 +99,12 @@ def fit_texts(good: list[bytes], bad: list[bytes]) -> Model:
     return Model(by_good, by_bad, _logistic(features(rest[0] + rest[1], by_good, by_bad), labels), share)
 
 
+def scores(texts: list[bytes], model: Model) -> np.ndarray:
+    """Probability of each text being good; an empty one has the share of good labels."""
+    values = probability(features(texts, model.good, model.bad), model.curve)
+    return np.where(np.array([not t for t in texts], dtype=bool), model.empty, values)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
         rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
     """Fit on a bounded sample of labelled rows: per class the `rows` first by a digest of the key,
@@ -137,8 +143,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         m = shared.value
         for batch in batches:
             texts = batch_texts(batch.column(1))
-            values = probability(features(texts, m.good, m.bad), m.curve)
-            values = np.where(np.array([not t for t in texts], dtype=bool), m.empty, values)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], [key, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(texts, m), pa.float64())], [key, "score"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
+
+
+def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text scores at least `least`. No shuffle."""
+    shared = checked_broadcast(docs.sparkSession, model, len(model.good) + len(model.bad))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch_texts(batch.column(at)), shared.value) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from groundwell.functions.bind import let
+
 from .common import stored, whole
 
 # The base patterns, the group that holds the value, and its least length.
@@ -114,18 +116,33 @@ def digest_columns(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def redact(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each stretch of overlapping spans replaced by `mask`."""
-    joined = F.aggregate(
-        found, F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(F.concat(done, F.array(F.struct(F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end")))), F.greatest(F.size(done), F.lit(1)))["end"] > s["start"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(joined, lambda s: s["end"]))
-    stops = F.concat(F.transform(joined, lambda s: s["start"]), F.array(F.length(text).cast("bigint")))
-    pieces = F.zip_with(starts, stops, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
-    return F.when(F.size(found) == 0, text).otherwise(F.array_join(pieces, mask))
+    """The text with each stretch of overlapping spans replaced by `mask`. Spans come in order of their starts."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+    last = F.lit(None).cast("struct<start:bigint,end:bigint>")
+
+    def add(acc, s):
+        open_, span = acc["open"], F.struct(s["start"].alias("start"), s["end"].alias("end"))
+        meets = open_.isNotNull() & (open_["end"] > s["start"])
+        return F.struct(
+            F.when(meets | open_.isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(open_))).alias("done"),
+            F.when(meets, F.struct(open_["start"].alias("start"), F.greatest(open_["end"], s["end"]).alias("end"))).otherwise(span).alias("open"),
+        )
+
+    joined = F.aggregate(found, F.struct(F.array().cast(kind).alias("done"), last.alias("open")), add, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+
+    def build(spans):
+        starts = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(spans, lambda s: s["end"]))
+        stops = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text).cast("bigint")))
+        pieces = F.zip_with(starts, stops, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
+        return F.array_join(pieces, mask)
+
+    return F.when(F.size(found) == 0, text).otherwise(let(joined, build))
+
+
+def mask_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """`docs` with the secrets of each text masked; all columns stay."""
+    marked = docs.withColumn("_secret_row", F.xxhash64(key, text))
+    found = scan(marked, "_secret_row", text).where(F.size("found") > 0).groupBy("_secret_row").agg(F.first("found").alias("_secret_spans"))
+    joined = marked.join(found.hint("shuffle_hash"), "_secret_row", "left")
+    masked = F.when(F.col("_secret_spans").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("_secret_spans"), mask))
+    return joined.withColumn(text, masked).select(*docs.columns)

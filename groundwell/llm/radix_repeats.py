@@ -196,17 +196,20 @@ def _windows(data: np.ndarray, hashes: Hashes, threshold: int) -> np.ndarray:
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, anchor: int = ANCHOR,
-            with_text: bool = False) -> DataFrame:
+            carry: tuple[str, ...] | None = None) -> DataFrame:
     """Bytes of each whole text that strings of `threshold` bytes cover which also start in a document of smaller key.
 
-    Returns key, n_bytes, n_removed, n_spans, kept_sha256, and with `with_text` the remaining bytes as `kept`
-    (binary), one row per row of `docs`. Keys are whole numbers. Null text is empty; texts shorter than the
+    Returns key, n_bytes, n_removed, n_spans, kept_sha256, one row per row of `docs`. With `carry` the remaining
+    text follows as `kept` (a character of which only some bytes remain is left out), and the named columns
+    of `docs` as the fields of `rest`. Keys are whole numbers. Null text is empty; texts shorter than the
     threshold, and rows without a key, keep everything and remove nothing. Rows of one key are one document. Other
     columns are ignored; an empty table gives an empty result.
     """
     if not 0 < anchor <= threshold:
         raise ValueError("an anchor is no longer than the threshold")
-    rows = docs.select(F.col(key).cast("long").alias("key"), whole(F.col(text)).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), whole(F.col(text)).alias("text"), *(
+        [] if carry is None else [F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("rest")]
+    ))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
 
@@ -242,7 +245,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         return _by_key(key, {"settled": (whole_gone, string[whole_gone]), "unclear": (unclear, string[unclear])})
 
     packed = "bucket long, names binary, who binary, one binary, two binary"
-    signs = rows.mapInArrow(first_digit, packed).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
+    signs = rows.select("key", "text").mapInArrow(first_digit, packed).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
         lambda t: settle(t), "key long, settled binary, unclear binary"
     )
     told = stored(signs.groupBy("key").agg(F.collect_list("settled").alias("settled"), F.collect_list("unclear").alias("unclear")))
@@ -304,10 +307,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
                     column.append(x)
             columns = [batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string())]
             names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_text:
-                columns, names = columns + [pa.array(out[4], pa.binary())], names + ["kept"]
+            if carry is not None:
+                texts = [x.decode(errors="ignore") for x in out[4]]
+                columns, names = columns + [pa.array(texts, pa.string()), batch.column(4)], names + ["kept", "rest"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     together = dealt.join(told.select("key", "settled").hint("shuffle_hash"), "key", "left").join(singles.hint("shuffle_hash"), "key", "left")
-    schema = f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return together.select("key", "text", "settled", "single").mapInArrow(finish, schema)
+    schema = f"`{key}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    if carry is None:
+        return together.select("key", "text", "settled", "single").mapInArrow(finish, schema)
+    schema += f", kept string, rest {rows.schema['rest'].dataType.simpleString()}"
+    return together.select("key", "text", "settled", "single", "rest").mapInArrow(finish, schema)

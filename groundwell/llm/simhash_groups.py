@@ -197,3 +197,16 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     lowest = node.groupBy("component").agg(F.min("low").alias("component_id"))
     named = node.join(lowest, "component").select("fp", "component_id")
     return marked.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
+    """One row of each group with all its columns: the one of the smallest key. A group without keys keeps its rows.
+
+    Rows that repeat a key are one document.
+    """
+    grouped = stored(groups(docs, key, text, width, most))
+    heads = grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_head")).agg(F.count(F.lit(1)).alias("_copies"))
+    single, several = (heads.where(c).select("_head").hint("shuffle_hash") for c in ("_head is null or _copies = 1", "_head is not null and _copies > 1"))
+    return docs.join(single, docs[key].eqNullSafe(F.col("_head")), "left_semi").union(
+        docs.join(several, docs[key] == F.col("_head"), "left_semi").dropDuplicates([key])
+    )
