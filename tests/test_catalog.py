@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalog.oracle import SQL
+from catalog.queries import QUERIES
 
 FOLDER = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="needs the generated tables")
@@ -26,12 +28,12 @@ def plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, sql, name):
-    df = queries()[name](spark, str(FOLDER))
+    df = QUERIES[name](spark, str(FOLDER))
     columns = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    answer = sql.execute(oracle_sql()[name])
+    answer = sql.execute(SQL[name])
     names = [d[0] for d in answer.description]
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in answer.fetchall()), key=repr)
@@ -39,5 +41,6 @@ def test_query_equals_its_sql(spark, sql, name):
 
 
 def test_every_query_has_sql_and_entry_runs(spark):
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
     assert entry(spark).limit(1).count() == 1
