@@ -176,8 +176,16 @@ def removed_bytes(data: np.ndarray, settled: np.ndarray, single: np.ndarray, thr
     np.add.at(depth, first[gone], 1)
     np.add.at(depth, last[gone], -1)
     if len(single):
-        window = _windows(data, hashes, threshold)
-        at = np.flatnonzero(np.isin(window, single))
+        order = np.lexsort((single["b"], single["a"]))
+        a, b = single["a"][order], single["b"][order]
+        window = hashes.every(threshold)
+        at = np.flatnonzero(np.isin(window, a))
+        if len(at):
+            second, low, high = _second(data, at, threshold), np.searchsorted(a, window[at]), np.searchsorted(a, window[at], side="right")
+            same = b[low] == second
+            for i in np.flatnonzero(~same & (high - low > 1)):  # two strings that share the first hash
+                same[i] = (b[low[i]:high[i]] == second[i]).any()
+            at = at[same]
         np.add.at(depth, at, 1)
         np.add.at(depth, at + threshold, -1)
     return np.cumsum(depth[:-1]) > 0
@@ -188,11 +196,9 @@ def _strings(hashes: Hashes, place, first, last) -> np.ndarray:
     return _mix(hashes.of(first, last) ^ ((place - first).astype(np.uint64) << _U(20)) ^ ((last - first).astype(np.uint64) << _U(40)))
 
 
-def _windows(data: np.ndarray, hashes: Hashes, threshold: int) -> np.ndarray:
-    """96-bit digests of all windows, as pairs."""
-    out = np.empty(max(0, len(data) - threshold + 1), dtype=[("a", "<u8"), ("b", "<u4")])
-    out["a"], out["b"] = hashes.every(threshold), Hashes(data, 1).every(threshold) >> _U(32)
-    return out
+def _second(data: np.ndarray, at: np.ndarray, threshold: int) -> np.ndarray:
+    """32 independent bits of the windows at some places."""
+    return (Hashes(data, 1).of(at, at + threshold) >> _U(32)).astype("<u4")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, anchor: int = ANCHOR,
@@ -264,8 +270,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
                 cover = np.zeros(len(data) + 1, dtype=np.int64)  # starts of the windows of these anchors
                 np.add.at(cover, first[mine], 1)
                 np.add.at(cover, np.minimum(place, last - threshold)[mine] + 1, -1)
-                window = np.unique(_windows(data, hashes, threshold)[np.cumsum(cover)[:max(0, len(data) - threshold + 1)] > 0])
-                for out, x in zip(found, (window["a"], window["b"], np.full(len(window), name))):
+                at = np.flatnonzero(np.cumsum(cover)[:len(data) - threshold + 1] > 0)
+                for out, x in zip(found, (hashes.of(at, at + threshold), _second(data, at, threshold), np.full(len(at), name))):
                     out.append(x)
             if not found[0]:
                 continue
@@ -278,8 +284,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         a, b, key = _unpack(table, ("<u8", "<u4"))
         order = np.lexsort((key, b, a))
         a, b, key = a[order], b[order], key[order]
-        least = key[_first_of(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))]
-        gone = np.flatnonzero(least < key)
+        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        once = fresh | np.concatenate([[True], key[1:] != key[:-1]])
+        gone = np.flatnonzero((key[_first_of(fresh)] < key) & once)
         values = np.empty(len(gone), dtype=[("a", "<u8"), ("b", "<u4")])
         values["a"], values["b"] = a[gone], b[gone]
         return _by_key(key, {"single": (gone, values)})
