@@ -12,6 +12,7 @@ and documents find their place by their rank among documents of their length.
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,16 +32,17 @@ CAPACITY, END_ID = 4096, 1
 #: leaves too few small documents to fill what rounding wastes.
 LARGE_SHARE, GROUPS = 1 / 3, 48
 #: Words a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer whose words do not influence each other, each distinct word encoded once.
 
-    Texts with characters outside common Latin ones go through the tokenizer as they are.
+    Latin-1 texts without control characters are split at white space and each distinct piece into words; other texts,
+    and those that may hold a special token, go through the tokenizer as they are.
     """
 
-    _unusual = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
+    _usual = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
     # The tokenizer's own word pattern, spelt for these characters.
     _words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
 
@@ -48,30 +50,51 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(definition)
         size = self.tokenizer.get_vocab_size()
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        words = [None if self._unusual.search(t) or "<|" in t else self._words.findall(t.lower()) for t in texts]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        new = list({w for ws in words if ws for w in ws if w not in self.known})
-        for i in range(0, len(new), 4096):
-            some = new[i:i + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+    def _split(self, text: str) -> list[str] | None:
+        try:
+            odd = text.encode("latin-1").translate(None, self._usual)
+        except UnicodeEncodeError:
+            return None
+        return None if odd or "<|" in text else text.lower().split()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words side by side; each ends with the token that closes a word."""
+        lots = [words[i:i + 256] for i in range(0, len(words), 256)]  # short ones cost the tokenizer least a word
+        for some, found in zip(lots, self.tokenizer.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False)):
+            ids = np.array(found.ids, dtype="<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(ends) == len(some):
-                data, start = ids.tobytes(), 0
-                for w, end in zip(some, ends):
-                    self.known[w] = data[4 * start:4 * end]
-                    start = end
+                data = ids.tobytes()
+                for w, start, end in zip(some, [0, *ends], ends):
+                    self.words[w] = data[4 * start:4 * end]
             else:
-                self.known.update((w, self._plain(w)) for w in some)
-        known = self.known
-        return [self._plain(t) if ws is None else b"".join([known[w] for w in ws]) for t, ws in zip(texts, words)]
+                self.words.update((w, self._plain(w)) for w in some)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        split = [self._split(t) for t in texts]
+        for remembered in (self.pieces, self.words):
+            if len(remembered) >= REMEMBERED:
+                remembered.clear()
+        seen = set()
+        for ws in split:
+            if ws:
+                seen.update(ws)
+        # these texts' pieces in a small table of their own, which is looked up much faster than the large one
+        held, words = self.pieces.get, self.words
+        here = {piece: held(piece) for piece in seen}
+        new = {piece: self._words.findall(piece) for piece, ids in here.items() if ids is None}
+        self._learn(list({w for ws in new.values() for w in ws}.difference(words)))
+        new = {piece: words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for piece, ws in new.items()}
+        self.pieces.update(new)
+        here.update(new)
+        return [self._plain(t) if ws is None else b"".join(map(here.__getitem__, ws)) for t, ws in zip(texts, split)]
 
 
 def pieces(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
@@ -81,6 +104,7 @@ def pieces(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         coder, task, end = WordTokenizer(shared.value), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:

@@ -7,7 +7,7 @@ neighbouring suffixes mostly share theirs, so one row stands for many suffixes.
 everything the anchor's suffixes read through the threshold, as one string. Where both agree, all those windows are
 repeated. Only where the first digit agrees and the second does not are the suffixes taken one by one, with the
 whole window as the last digit. Digits are compared as hashes: 38 bits or more for the first, which only has to
-part groups, 64 more for the second, 96 for the last.
+part groups, 48 more for the second, 64 for the last beside its bucket.
 
 Rows of a pass are sorted runs of digits, one per Arrow batch and leading digit bits. A string that
 very many documents hold is one row per document in such a run, spread over the batches; a
@@ -117,44 +117,49 @@ def _lots(texts: list[bytes], keys: list) -> Iterator[tuple[np.ndarray, np.ndarr
         yield np.frombuffer(b"".join(lot), np.uint8), np.cumsum([len(x) for x in lot]), np.array(names, np.int64)
 
 
-def _runs(bucket: np.ndarray, columns: list[np.ndarray], key: np.ndarray) -> pa.RecordBatch | None:
-    """Rows of a pass, one per bucket: the digits and the documents' places in a short list of keys, packed."""
-    if not len(bucket):
-        return None
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return (_mix(key.view(np.uint64)) % _U(shards)).astype(np.int64)
+
+
+def _runs(bucket: np.ndarray, columns: list[np.ndarray], key: np.ndarray, widths: tuple[int, ...] = (8,)) -> pa.RecordBatch:
+    """Rows of a pass, one per bucket: numbers in so many bytes each, and the documents' places in a short list of keys."""
     order = np.argsort(bucket, kind="stable")
     heads, starts = np.unique(bucket[order], return_index=True)
-    names, packed = [], [[] for _ in columns]
-    who = []
-    for part in np.split(order, starts[1:]):
+    names, who, packed = [], [], [[], []]
+    for part in np.split(order, starts[1:]) if len(heads) else []:
         own, at = np.unique(key[part], return_inverse=True)
-        names.append(own.astype("<i8").tobytes())
+        names.append(np.diff(own, prepend=0).astype("<i8").tobytes())  # steps: small, so they compress well
         who.append(at.astype("<u2" if len(own) < 1 << 16 else "<u4").tobytes())
-        for column, out in zip(columns, packed):
-            out.append(column[part].tobytes())
-    arrays = [pa.array(heads.astype(np.int64)), pa.array(names, pa.binary()), pa.array(who, pa.binary()), *[pa.array(x, pa.binary()) for x in packed]]
+        for i, out in enumerate(packed):
+            out.append(columns[i][part].astype("<u8").view("u1").reshape(-1, 8)[:, :widths[i]].tobytes() if i < len(columns) else b"")
+    arrays = [pa.array(heads.astype(np.int64)), *[pa.array(x, pa.binary()) for x in (names, who, *packed)]]
     return pa.RecordBatch.from_arrays(arrays, ["bucket", "names", "who", "one", "two"])
 
 
-def _unpack(table: pa.Table, kinds: tuple[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    one = np.concatenate([np.frombuffer(x, kinds[0]) for x in table.column("one").to_pylist()])
-    two = np.concatenate([np.frombuffer(x, kinds[1]) for x in table.column("two").to_pylist()])
-    keys = []
+def _unpack(table: pa.Table, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """The columns of all runs of a bucket, then the keys."""
+    out = []
+    for name, width in zip(("one", "two"), widths):
+        data = np.frombuffer(b"".join(table.column(name).to_pylist()), "u1").reshape(-1, width)
+        wide = np.zeros((len(data), 8), "u1")
+        wide[:, :width] = data
+        out.append(wide.view("<u8")[:, 0])
+    keys = [np.empty(0, np.int64)]
     for names, who in zip(table.column("names").to_pylist(), table.column("who").to_pylist()):
-        own = np.frombuffer(names, "<i8")
+        own = np.cumsum(np.frombuffer(names, "<i8"))
         keys.append(own[np.frombuffer(who, "<u2" if len(own) < 1 << 16 else "<u4")])
-    return one, two, np.concatenate(keys)
+    return [*out, np.concatenate(keys)]
 
 
 def _by_key(key: np.ndarray, columns: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    """Values of each document packed into one row: columns maps a name to (rows, values)."""
-    rows = np.unique(np.concatenate([key[r] for r, _ in columns.values()])) if columns else np.empty(0, np.int64)
-    out = {"key": pa.array(rows, pa.int64())}
-    for name, (r, values) in columns.items():
-        order = np.argsort(key[r], kind="stable")
-        own = key[r][order]
-        cuts = np.searchsorted(own, rows), np.searchsorted(own, rows, side="right")
-        data, width = values[order].tobytes(), values.dtype.itemsize
-        out[name] = pa.array([data[a * width:b * width] for a, b in zip(*(c.tolist() for c in cuts))], pa.binary())
+    """Numbers of each document packed into one row; columns maps a name to (which rows, numbers)."""
+    names = np.unique(key)
+    out = {"key": pa.array(names, pa.int64())}
+    for name, (rows, values) in columns.items():
+        rows = rows[np.argsort(key[rows], kind="stable")]
+        own, data = key[rows], values[rows].astype("<u8").tobytes()
+        cuts = np.searchsorted(own, names).tolist(), np.searchsorted(own, names, side="right").tolist()
+        out[name] = pa.array([data[8 * a:8 * b] for a, b in zip(*cuts)], pa.binary())
     return pa.table(out)
 
 
@@ -163,10 +168,6 @@ def _first_of(change: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
 
 
-def _joined(parts) -> bytes:
-    return b"".join(p for p in parts or () if p)
-
-
 def removed_bytes(data: np.ndarray, settled: np.ndarray, single: np.ndarray, threshold: int, anchor: int) -> np.ndarray:
     """Which bytes of one document go, from the digests of its repeated anchor strings and repeated single windows."""
     hashes = Hashes(data)
@@ -176,29 +177,15 @@ def removed_bytes(data: np.ndarray, settled: np.ndarray, single: np.ndarray, thr
     np.add.at(depth, first[gone], 1)
     np.add.at(depth, last[gone], -1)
     if len(single):
-        order = np.lexsort((single["b"], single["a"]))
-        a, b = single["a"][order], single["b"][order]
-        window = hashes.every(threshold)
-        at = np.flatnonzero(np.isin(window, a))
-        if len(at):
-            second, low, high = _second(data, at, threshold), np.searchsorted(a, window[at]), np.searchsorted(a, window[at], side="right")
-            same = b[low] == second
-            for i in np.flatnonzero(~same & (high - low > 1)):  # two strings that share the first hash
-                same[i] = (b[low[i]:high[i]] == second[i]).any()
-            at = at[same]
+        at = np.flatnonzero(np.isin(hashes.every(threshold), single))
         np.add.at(depth, at, 1)
         np.add.at(depth, at + threshold, -1)
     return np.cumsum(depth[:-1]) > 0
 
 
 def _strings(hashes: Hashes, place, first, last) -> np.ndarray:
-    """Digests of all that an anchor's windows read, with the anchor's place in it."""
-    return _mix(hashes.of(first, last) ^ ((place - first).astype(np.uint64) << _U(20)) ^ ((last - first).astype(np.uint64) << _U(40)))
-
-
-def _second(data: np.ndarray, at: np.ndarray, threshold: int) -> np.ndarray:
-    """32 independent bits of the windows at some places."""
-    return (Hashes(data, 1).of(at, at + threshold) >> _U(32)).astype("<u4")
+    """48-bit digests of all that an anchor's windows read, with the anchor's place in it."""
+    return _mix(hashes.of(first, last) ^ ((place - first).astype(np.uint64) << _U(20)) ^ ((last - first).astype(np.uint64) << _U(40))) >> _U(16)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, anchor: int = ANCHOR,
@@ -230,12 +217,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
             if not found[0]:
                 continue
             digit, string, keys = (np.concatenate(x) for x in found)
-            made = _runs((digit % _U(buckets)).astype(np.int64), [(digit >> _U(32)).astype("<u4"), string], keys)
-            if made is not None:
-                yield made
+            made = _runs((digit % _U(buckets)).astype(np.int64), [digit >> _U(32), string], keys, (4, 6))
+            yield made
 
     def settle(table: pa.Table) -> pa.Table:
-        digit, string, key = _unpack(table, ("<u4", "<u8"))
+        digit, string, key = _unpack(table, (4, 6))
         order = np.lexsort((key, string, digit))
         digit, string, key = digit[order], string[order], key[order]
         new_digit = np.concatenate([[True], digit[1:] != digit[:-1]])
@@ -246,21 +232,25 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         heads = np.flatnonzero(new_digit)
         several = np.minimum.reduceat(key, heads) != np.maximum.reduceat(key, heads)
         fresh = np.concatenate([[True], (string[1:] != string[:-1]) | (key[1:] != key[:-1])])
-        whole_gone = np.flatnonzero((least < key) & fresh)
-        unclear = np.flatnonzero((least == key) & fresh & (strings > 1)[group] & several[group])
-        return _by_key(key, {"settled": (whole_gone, string[whole_gone]), "unclear": (unclear, string[unclear])})
+        whole_gone = (least < key) & fresh
+        unclear = (least == key) & fresh & (strings > 1)[group] & several[group]
+        told = np.flatnonzero(whole_gone | unclear)
+        return pa.Table.from_batches([_runs(_shard(key[told], buckets), [string[told], whole_gone[told].astype(np.uint64)], key[told], (6, 1))])
+
+    def strings_by_key(table: pa.Table) -> pa.Table:
+        string, gone, key = _unpack(table, (6, 1))
+        return _by_key(key, {"settled": (np.flatnonzero(gone == 1), string), "unclear": (np.flatnonzero(gone == 0), string)})
 
     packed = "bucket long, names binary, who binary, one binary, two binary"
-    signs = rows.select("key", "text").mapInArrow(first_digit, packed).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(
-        lambda t: settle(t), "key long, settled binary, unclear binary"
-    )
-    told = stored(signs.groupBy("key").agg(F.collect_list("settled").alias("settled"), F.collect_list("unclear").alias("unclear")))
+    # what is known of a string goes to its document in two steps: packed by shard of documents, then by document
+    signs = rows.select("key", "text").mapInArrow(first_digit, packed).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: settle(t), packed)
+    told = stored(signs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: strings_by_key(t), "key long, settled binary, unclear binary"))
 
     def last_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[], [], []]
+            found = [[], []]
             for data, name, parts in zip(batch_texts(batch.column(1)), batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                wanted = np.frombuffer(_joined(parts), "<u8")
+                wanted = np.frombuffer(parts or b"", "<u8")
                 if not len(wanted) or len(data) < threshold:
                     continue
                 data = np.frombuffer(data, np.uint8)
@@ -271,40 +261,39 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
                 np.add.at(cover, first[mine], 1)
                 np.add.at(cover, np.minimum(place, last - threshold)[mine] + 1, -1)
                 at = np.flatnonzero(np.cumsum(cover)[:len(data) - threshold + 1] > 0)
-                for out, x in zip(found, (hashes.of(at, at + threshold), _second(data, at, threshold), np.full(len(at), name))):
+                for out, x in zip(found, (hashes.of(at, at + threshold), np.full(len(at), name))):
                     out.append(x)
             if not found[0]:
                 continue
-            a, b, names = (np.concatenate(x) for x in found)
-            made = _runs((a % _U(buckets)).astype(np.int64), [a, b], names)
-            if made is not None:
-                yield made
+            window, names = (np.concatenate(x) for x in found)
+            made = _runs((window % _U(buckets)).astype(np.int64), [window], names)
+            yield made
 
     def settle_windows(table: pa.Table) -> pa.Table:
-        a, b, key = _unpack(table, ("<u8", "<u4"))
-        order = np.lexsort((key, b, a))
-        a, b, key = a[order], b[order], key[order]
-        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        once = fresh | np.concatenate([[True], key[1:] != key[:-1]])
-        gone = np.flatnonzero((key[_first_of(fresh)] < key) & once)
-        values = np.empty(len(gone), dtype=[("a", "<u8"), ("b", "<u4")])
-        values["a"], values["b"] = a[gone], b[gone]
-        return _by_key(key, {"single": (gone, values)})
+        window, key = _unpack(table, (8,))
+        order = np.lexsort((key, window))
+        window, key = window[order], key[order]
+        fresh = np.concatenate([[True], window[1:] != window[:-1]])
+        gone = np.flatnonzero((key[_first_of(fresh)] < key) & (fresh | np.concatenate([[True], key[1:] != key[:-1]])))
+        return pa.Table.from_batches([_runs(_shard(key[gone], buckets), [window[gone]], key[gone])])
+
+    def windows_by_key(table: pa.Table) -> pa.Table:
+        window, key = _unpack(table, (8,))
+        return _by_key(key, {"single": (np.arange(len(key)), window)})
 
     # The texts move once, by key; both joins below read the same exchange.
     dealt = rows.repartition("key")
-    asked = told.where(F.exists("unclear", lambda u: F.octet_length(u) > 0)).select("key", "unclear")
+    asked = told.where(F.octet_length("unclear") > 0).select("key", "unclear")
     last = dealt.join(asked.hint("shuffle_hash"), "key").select("key", "text", "unclear").mapInArrow(last_digit, packed)
-    singles = last.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: settle_windows(t), "key long, single binary")
-    singles = singles.groupBy("key").agg(F.collect_list("single").alias("single"))
+    singles = last.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: settle_windows(t), packed)
+    singles = singles.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: windows_by_key(t), "key long, single binary")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = [("a", "<u8"), ("b", "<u4")]
         for batch in batches:
             out = [[], [], [], [], []]
             for raw, settled, single in zip(batch_texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 kept, spans = raw, 0
-                settled, single = np.frombuffer(_joined(settled), "<u8"), np.frombuffer(_joined(single), pair)
+                settled, single = np.frombuffer(settled or b"", "<u8"), np.frombuffer(single or b"", "<u8")
                 if len(settled) or len(single):
                     data = np.frombuffer(raw, np.uint8)
                     gone = removed_bytes(data, settled, single, threshold, anchor)
