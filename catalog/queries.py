@@ -32,6 +32,7 @@ from groundwell.operators.intent import rule_screen
 from groundwell.operators.rerank import rerank
 from groundwell.operators.rewrite import rewrite
 from groundwell.plans import answer as answering
+from groundwell.plans import index as indexing
 from groundwell.session import broadcast_if_small, cut_lineage, scratch_folder
 from groundwell.streaming import jobs
 
@@ -238,6 +239,28 @@ def ingest_report(spark, sf):
     return report.select("doc_id", "sections", "chunks", "tokens", F.round("mean_tokens", 6).alias("mean_tokens"))
 
 
+@query
+def ingest_skipped(spark, sf):
+    """Documents that give no chunk."""
+    docs = documents(spark, sf)
+    sections = sections_text.explode_sections(sections_text.parse_text(docs))
+    return manifest.skipped(table(spark, sf, "documents", "doc_id"), chunking.chunk_sections(sections))
+
+
+@query
+def index_refresh(spark, sf):
+    """Documents as chunks of an index that is built again: some are new, some changed, some gone, the rest stand."""
+    last = F.col("doc_id") % 10
+    chunks = table(spark, sf, "documents", "doc_id", "text", "source").select(
+        F.col("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("title"), F.lit("").alias("section_path"), "text",
+        F.lit(None).cast("string").alias("specialty"), F.lit(None).cast("string").alias("doc_version"), F.lit(None).cast("string").alias("source_url"),
+    )
+    held = indexing.records(chunks.where(last != 3).drop("doc_id"), lambda text: F.array(F.length(text).cast("float")))
+    now = chunks.where(last != 4).withColumn("text", F.when(last == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).drop("doc_id")
+    kept, fresh = indexing.refresh(now, held)
+    return kept.select("chunk_id", F.lit("kept").alias("status")).union(fresh.select("chunk_id", F.lit("embedded").alias("status")))
+
+
 # --- retrieval ----------------------------------------------------------------------------------
 
 
@@ -432,8 +455,9 @@ def number_provenance(spark, sf):
     """Numbers a document states that neither the document after it nor its own id holds."""
     docs = documents(spark, sf)
     after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("cited"))
-    bad = output_gate.unsupported_numbers(F.col("text"), F.col("cited"), F.col("doc_id").cast("string"))
-    return docs.join(after, "doc_id").select("doc_id", _joined(bad).alias("unsupported"))
+    cited = F.coalesce("cited", F.lit(""))  # the last document has none after it
+    bad = output_gate.unsupported_numbers(F.col("text"), cited, F.col("doc_id").cast("string"))
+    return docs.join(after, "doc_id", "left").select("doc_id", _joined(bad).alias("unsupported"))
 
 
 @query

@@ -33,11 +33,14 @@ def offset(df, keys, bucket, order, value, out):
         df.groupBy(*keys, bucket).agg(F.sum(value).alias("_in_bucket"))
         .select(*keys, bucket, F.coalesce(F.sum("_in_bucket").over(outer), F.lit(0)).alias("_before"))
     )
+    # null keys and buckets are groups of their own here, as they are in the windows
+    renamed = base.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, bucket)], "_before")
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*keys, bucket)]
     return (
         df.withColumn("_within", F.sum(value).over(inner))
-        .join(base, [*keys, bucket])
+        .join(renamed, same)
         .withColumn(out, F.col("_before") + F.col("_within"))
-        .drop("_before", "_within")
+        .drop("_before", "_within", *[f"_of_{c}" for c in (*keys, bucket)])
     )
 
 

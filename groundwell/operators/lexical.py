@@ -1,16 +1,20 @@
 """Okapi BM25 over a corpus, for many questions at once.
 
-Layout. Tokens are shuffled once by document. Postings, their join with the question terms and
-the per-(document, question) sums all keep that partitioning, so none of them shuffles again, and
-the ranking drops everything but k rows per question inside each task before the last exchange.
-No shuffle is keyed by term except the vocabulary count, which is combined map-side first, so a
-term found in every document does not make a hot task.
+Layout. The text never moves. Each task holds the weighted terms of a block of questions, whose number
+is bounded, counts them inside each document's own row, and keeps the k best documents of each
+question seen so far; only those leave the task, for one small exchange by question. No shuffle is keyed
+by term except the vocabulary count, which is combined map-side first, so a term found in every
+document does not make a hot task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,9 +30,9 @@ DIGITS = 6  # scores are compared after rounding, so summation order cannot chan
 
 @dataclass(frozen=True)
 class Corpus:
-    """A tokenised corpus: one row per (doc, term) with tf and dl, and the vocabulary counts."""
+    """A corpus: one row per document with its tokens, and the vocabulary counts."""
 
-    postings: DataFrame
+    tokens: DataFrame
     vocabulary: DataFrame
     n_docs: int
     n_tokens: int
@@ -43,14 +47,9 @@ def raw_idf(df: Column, n_docs) -> Column:
     return F.log(F.lit(float(n_docs)) - df + 0.5) - F.log(df + 0.5)
 
 
-def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, term, tf, dl. Partitioned by document."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("_tokens"))
-    rows = rows.repartition("doc_id").withColumn("dl", F.size("_tokens"))
-    return (
-        unroll(rows, "_tokens", "term")
-        .groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    )
+def document_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and the document's tokens in order, in its own row."""
+    return docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("tokens"))
 
 
 def vocabulary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,7 +85,7 @@ def build_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"),
         F.coalesce(F.avg(raw_idf(F.col("df"), n_docs)), F.lit(0.0)).alias("mean_idf"),
     ).first()
-    return Corpus(postings(docs, doc_id, text), vocab, n_docs, int(totals["n_tokens"]), float(totals["mean_idf"]))
+    return Corpus(document_tokens(docs, doc_id, text), vocab, n_docs, int(totals["n_tokens"]), float(totals["mean_idf"]))
 
 
 def corpus_idf(corpus: Corpus) -> DataFrame:
@@ -112,16 +111,56 @@ def _question_blocks(terms: DataFrame, max_rows: int) -> list[DataFrame]:
     return [terms.where(block == b) for b in range(n_blocks)]
 
 
-def bm25_scores(corpus: Corpus, weighted: DataFrame) -> DataFrame:
-    """qid, doc_id, score for one block of weighted question terms (qid, term, weight)."""
-    length = F.lit(1.0 - B) + F.lit(B) * F.col("dl") / F.lit(corpus.mean_length or 1.0)
-    gain = F.col("tf") * (K1 + 1.0) / (F.col("tf") + F.lit(K1) * length)
-    return (
-        corpus.postings.join(F.broadcast(weighted), "term")
-        .groupBy("doc_id", "qid")
-        .agg(F.round(F.sum(F.col("weight") * gain), DIGITS).alias("score"))
-        .where(F.col("score") > 0)
-    )
+def bm25_best(corpus: Corpus, weighted: DataFrame, k: int) -> DataFrame:
+    """qid, doc_id, score: of each task, the k best documents of each question of a block.
+
+    `weighted` (qid, term, weight) is one block; its number of rows is bounded by `_question_blocks`.
+    """
+    table = weighted.select("qid", "term", "weight").toArrow()
+    names = pc.unique(table.column("qid"))
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    order = pc.sort_indices(table, [("term", "ascending")])
+    table = table.take(order).combine_chunks()
+    terms = pc.unique(table.column("term"))
+    terms = terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms
+    asker = pc.index_in(table.column("qid"), names).to_numpy().astype(np.int64)
+    starts = np.searchsorted(pc.index_in(table.column("term"), terms).to_numpy(), np.arange(len(terms) + 1))
+    weight = table.column("weight").to_numpy()
+    shared = weighted.sparkSession.sparkContext.broadcast((names, terms, starts, asker, weight))
+    kind, mean = corpus.tokens.schema["doc_id"].dataType.simpleString(), corpus.mean_length or 1.0
+    schema = f"qid {weighted.schema['qid'].dataType.simpleString()}, doc_id {kind}, score double"
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, terms, starts, asker, weight = shared.value
+        held_q, held_s, held_id = np.empty(0, np.int64), np.empty(0), None
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+            found = pc.index_in(lists.flatten(), terms).fill_null(-1).to_numpy().astype(np.int64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            pairs, tf = np.unique(doc[found >= 0] * len(terms) + found[found >= 0], return_counts=True)
+            if not len(pairs):
+                continue
+            doc, term = pairs // len(terms), pairs % len(terms)
+            gain = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * sizes[doc] / mean))
+            many = starts[term + 1] - starts[term]  # questions that ask the term
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[term], many)
+            cells, cell = np.unique(np.repeat(doc, many) * len(names) + asker[at], return_inverse=True)
+            score = np.round(np.bincount(cell, weights=weight[at] * np.repeat(gain, many)), DIGITS)
+            d, q = cells[score > 0] // len(names), cells[score > 0] % len(names)
+            ids = batch.column(0).take(pa.array(d))
+            q, score = np.concatenate([held_q, q]), np.concatenate([held_s, score[score > 0]])
+            ids = ids if held_id is None else pa.concat_arrays([held_id, ids])
+            rank = np.empty(len(ids), np.int64)  # place of each id in their order
+            rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+            order = np.lexsort((rank, -score, q))
+            q, score, ids = q[order], score[order], ids.take(pa.array(order))
+            top = np.arange(len(q)) - np.searchsorted(q, q) < k
+            held_q, held_s, held_id = q[top], score[top], ids.filter(pa.array(top))
+        if held_id is not None:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(held_q)), held_id, pa.array(held_s)], ["qid", "doc_id", "score"])
+
+    return corpus.tokens.select("doc_id", "tokens").mapInArrow(best, schema)
 
 
 def best_per_question(scored: DataFrame, k: int, order: list[Column], rank: str = "rank") -> DataFrame:
@@ -145,7 +184,7 @@ def bm25_topk(
 ) -> DataFrame:
     """qid, doc_id, score, rank: the k best documents of each question with a positive score.
 
-    Question terms are broadcast, so their number is counted first; a larger set is answered
+    Question terms are held by every task, so their number is counted first; a larger set is answered
     block by block, each block within the bound and each question in exactly one block.
     """
     idf = corpus_idf(corpus)
@@ -155,7 +194,7 @@ def bm25_topk(
             "qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")
         )
         part = best_per_question(
-            bm25_scores(corpus, weighted), k, [F.desc("score"), F.asc("doc_id")]
+            bm25_best(corpus, weighted, k), k, [F.desc("score"), F.asc("doc_id")]
         )
         ranked = part if ranked is None else ranked.unionByName(part)
     return ranked.select("qid", "doc_id", "score", "rank")

@@ -64,7 +64,8 @@ def skipped(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def ingest_report(sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """doc_id, sections, chunks, tokens, mean_tokens per document."""
+    """doc_id, sections, chunks, tokens, mean_tokens per document; no mean for one without chunks."""
     cut = sections.groupBy("doc_id").agg(F.count("*").alias("sections"))
     made = chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("n_tokens").alias("tokens"))
-    return cut.join(made, "doc_id").withColumn("mean_tokens", F.col("tokens") / F.col("chunks"))
+    both = cut.join(made, "doc_id", "left").na.fill(0, ["chunks", "tokens"])
+    return both.withColumn("mean_tokens", F.try_divide("tokens", "chunks"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.bind import offset
+from ..session import cut_lineage
 
 BREAKER_FAILURES = 3  # fixed value: failures in a row that open the breaker
 
@@ -33,17 +34,19 @@ def quota(
             "retry_after_s", F.lit(0).cast("bigint")
         )
     order = W.partitionBy(subject, "window").orderBy(ts, key)
+    # ids may repeat under other subjects or windows, so rows are told apart by a number of their own
+    numbered = cut_lineage(numbered.withColumn("_row", F.monotonically_increasing_id()))
     first = (
-        numbered.select(subject, "window", ts, key)
+        numbered.select(subject, "window", ts, key, "_row")
         .withColumn("_n", F.row_number().over(order))
         .where(F.col("_n") <= limit)
-        .select(F.col(key), "_n")
+        .select("_row", "_n")
     )
     return (
-        numbered.join(first, key, "left")
+        numbered.join(first, "_row", "left")
         .withColumn("allowed", F.col("_n").isNotNull())
         .withColumn("remaining", F.coalesce(F.lit(limit) - F.col("_n"), F.lit(0)))
-        .drop("_n")
+        .drop("_n", "_row")
     )
 
 
@@ -77,4 +80,4 @@ def fresh_entries(entries: DataFrame, now, ttl_s: int, key: str = "key", stored:
     """The latest entry per key that has not outlived its time."""
     alive = entries.where(F.col(stored) + F.make_dt_interval(secs=F.lit(float(ttl_s))) > now)
     others = [c for c in entries.columns if c != key]
-    return alive.groupBy(key).agg(F.max_by(F.struct(*others), F.col(stored)).alias("_e")).select(key, "_e.*")
+    return alive.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(F.col(stored), F.xxhash64(*others))).alias("_e")).select(key, "_e.*")

@@ -121,7 +121,7 @@ def retrieve(
     """First pass, wide pass (both with question and passage columns), and the orphan hits.
 
     `asked` (qid, question, rewritten) is read several times, so pass it with its lineage cut.
-    Question ids are text without '#'. Both passes of a question are two rows of one dense search.
+    Both passes of a question are two rows of one dense search, told apart by the first character of their id.
     """
     deep = max(settings.retrieve_k, settings.corrective_k)
     lexical_hits = cut_lineage(
@@ -133,12 +133,12 @@ def retrieve(
     sides = [("first", "0")] + ([("wide", "1")] if differ else [])
     tagged = reduce(
         DataFrame.unionByName,
-        [vectors.select(F.concat_ws("#", "qid", F.lit(n)).alias("qid"), F.col(c).alias("vector")) for c, n in sides],
+        [vectors.select(F.concat(F.lit(n), "qid").alias("qid"), F.col(c).alias("vector")) for c, n in sides],
     )
     dense = cut_lineage(
         cosine_topk(tagged, index.vectors, deep, "chunk_id")
-        .withColumn("wide", F.split_part("qid", F.lit("#"), F.lit(2)).cast("int"))
-        .withColumn("qid", F.split_part("qid", F.lit("#"), F.lit(1)))
+        .withColumn("wide", F.substring("qid", 1, 1).cast("int"))
+        .withColumn("qid", F.substring(F.col("qid"), F.lit(2), F.length("qid")))
     )
     second = dense.where(F.col("wide") == (1 if differ else 0)).drop("wide")
     first = dense.where(F.col("wide") == 0).drop("wide")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import contextual_text
+from ..session import cut_lineage
 
 NULLABLE_STRINGS = ("specialty", "doc_version", "source_url")
 
@@ -23,18 +24,44 @@ def records(chunks: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
     return chunks.na.fill("", list(NULLABLE_STRINGS)).withColumn("vector", embed(text))
 
 
+def _content(chunks: DataFrame) -> Column:
+    """Digest of all that a record is made of, so that any change of it is noticed."""
+    names = sorted(c for c in chunks.columns if c not in ("ingested_at", "vector", "ord"))
+    return F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "true"}), 256)
+
+
+def refresh(chunks: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of `held` that still stand, chunks that are new or changed). Vanished chunks are in neither."""
+    given = chunks.na.fill("", [c for c in NULLABLE_STRINGS if c in chunks.columns])
+    shared = [c for c in given.columns if c in held.columns and c != "ord"]
+    now = given.select("chunk_id", _content(given.select(*shared)).alias("_digest"))
+    then = held.select("chunk_id", _content(held.select(*shared)).alias("_digest"))
+    same = now.join(then, ["chunk_id", "_digest"]).select("chunk_id").distinct()
+    return held.join(same, "chunk_id", "left_semi"), chunks.join(same, "chunk_id", "left_anti")
+
+
 def build(chunks: DataFrame, path: str, embed: Callable[[Column], Column], recreate: bool = False) -> int:
-    """Write the index and return how many rows were inserted.
+    """Write the index and return how many rows were embedded.
 
-    Without `recreate` only chunks the table does not hold yet are embedded and appended, so
-    running it again adds nothing; a repeated row would be counted twice in a ranking.
+    Without `recreate` only new and changed chunks are embedded: changed ones replace what the table held,
+    vanished ones leave it, so running it again adds nothing. The new table is written beside the old one and
+    takes its place when it is whole.
     """
     spark = chunks.sparkSession
     if recreate or not exists(spark, path):
         records(chunks, embed).write.mode("overwrite").parquet(path)
         return spark.read.parquet(path).count()
-    before = spark.read.parquet(path)
-    held = before.count()
-    fresh = chunks.join(before.select("chunk_id"), "chunk_id", "left_anti")
-    records(fresh, embed).select(*before.columns).write.mode("append").parquet(path)
-    return spark.read.parquet(path).count() - held
+    held = spark.read.parquet(path)
+    kept, fresh = refresh(chunks, held)
+    fresh = cut_lineage(records(fresh, embed).select(*held.columns))
+    aside = f"{path.rstrip('/')}.next"
+    kept.unionByName(fresh).write.mode("overwrite").parquet(aside)
+    inserted = fresh.count()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
+    place = old.getFileSystem(conf)
+    place.delete(old, True)
+    if not place.rename(new, old):
+        raise OSError(f"{aside} holds the new index but could not take the place of {path}")
+    spark.catalog.refreshByPath(path)
+    return inserted

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,20 +50,16 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder and continue from there.
+    """Write `df` once as Parquet into the shared folder and continue from there.
 
-    Used where one intermediate result feeds several branches. Survives the loss of executors
-    because the files are in shared storage. Where a cluster names no folder the plan is left
-    whole, which is slower but still right.
+    Used where one intermediate result feeds several branches, which must then see the same rows. Survives
+    the loss of executors because the files are in shared storage; later reads are pruned and have
+    statistics. Fails where a cluster names no folder.
     """
     spark = df.sparkSession
-    folder = _shared_folder(spark)
-    if folder is None:
-        return df
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{scratch_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(

@@ -126,7 +126,7 @@ def test_vector_service_batches_and_halves(spark):
 
     records = [{"vector": [0.0] * 3072, "n": i} for i in range(20)]
     assert vector_service.send(records, "u", {}, transport) == 20
-    assert sizes == [14, 7, 3, 3, 3, 3, 3, 3, 2]
+    assert sizes == [14, 7, 3, 4, 7, 3, 4, 6, 3, 3]
     with pytest.raises(vector_service.ServiceError):
         vector_service.send(records, "u", {}, lambda *a: (500, {}))
 
