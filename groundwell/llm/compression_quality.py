@@ -112,19 +112,18 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     marked = labels.select(F.col(key).alias("_k"), F.col(label).alias("_y")).where("_y in (0, 1)").distinct()
     found = []
     for y in (1, 0):
-        chosen = (
-            docs.select(F.col(key).alias("_k"), whole(F.col(text)).alias("_t")).where("_t != ''")
-            .join(marked.where(F.col("_y") == y), "_k", "left_semi")
-        )
-        # keys and sizes are chosen first, so that texts outside the sample never leave their tasks
-        order = [F.xxhash64("_k"), F.col("_k"), F.col("_n")]
-        sized = chosen.select("_k", F.octet_length("_t").alias("_n")).orderBy(*order).limit(rows).collect()
+        rows_of = docs.select(F.col(key).alias("_k"), whole(F.col(text)).alias("_t")).where("_t != ''")
+        # only keys meet the labels; the texts of the chosen few are then read by key, so no text is shuffled
+        first = rows_of.select("_k").join(marked.where(F.col("_y") == y), "_k", "left_semi").distinct()
+        keys = [r["_k"] for r in first.orderBy(F.xxhash64("_k"), "_k").limit(rows).collect()]
+        chosen = rows_of.where(F.col("_k").isin(keys)) if keys else rows_of.limit(0)
+        sized = chosen.select("_k", F.octet_length("_t").alias("_n")).orderBy(F.xxhash64("_k"), "_k", "_n").collect()
         taken, total = [], 0
         for row in sized:
             if total + row["_n"] <= size:
                 taken.append(row["_k"])
                 total += row["_n"]
-        texts = chosen.where(F.col("_k").isin(taken)) if taken else chosen.limit(0)
+        texts = rows_of.where(F.col("_k").isin(taken)) if taken else rows_of.limit(0)
         picked = sorted({(r["_k"], r["_t"]) for r in texts.collect()})
         found.append([t.encode() for _, t in picked])
     return fit_texts(*found)
