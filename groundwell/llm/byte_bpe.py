@@ -22,7 +22,7 @@ from .common import batch_texts, checked_broadcast
 #: Bytes encoded directly at a leaf of the tree.
 LEAF = 24
 #: Distinct matches a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Bytes from which a window is encoded with a queue; rank of a pair that is no token.
 LONG, NONE = 256, 1 << 62
 

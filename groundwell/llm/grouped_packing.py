@@ -32,7 +32,7 @@ CAPACITY, END_ID = 4096, 1
 #: leaves too few small documents to fill what rounding wastes.
 LARGE_SHARE, GROUPS = 1 / 3, 48
 #: Words a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 class WordTokenizer:

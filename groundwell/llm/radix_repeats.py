@@ -28,7 +28,7 @@ from .common import batch_texts, stored, whole
 
 THRESHOLD, ANCHOR = 50, 24
 #: Bytes of text whose digits one bucket takes, and bytes that are hashed at once.
-BUCKET_BYTES, LOT_BYTES = 8 << 20, 1 << 20
+BUCKET_BYTES, LOT_BYTES = 8 << 20, 1 << 19
 _U = np.uint64
 _RANDOM = np.random.default_rng(20240517)
 #: Random values of the 256 bytes, for two independent hashes; base and its inverse modulo 2^64.
