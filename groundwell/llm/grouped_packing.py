@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +32,13 @@ CAPACITY, END_ID = 4096, 1
 #: Large lengths are those above this share of the capacity; they are cut into so many groups. A smaller share
 #: leaves too few small documents to fill what rounding wastes.
 LARGE_SHARE, GROUPS = 1 / 3, 48
-#: Words a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Words a worker remembers, give or take those of one lot, and the characters encoded in one lot: a word that comes
+#: often in a lot is looked up once.
+REMEMBERED, LOT_CHARS = 300_000, 6_000_000
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer whose words do not influence each other, each distinct word encoded once.
+    """Ids of whole texts by a tokenizer whose words do not influence each other, each distinct word encoded once a lot.
 
     Latin-1 texts without control characters are split at white space and each distinct piece into words; other texts,
     and those that may hold a special token, go through the tokenizer as they are.
@@ -50,51 +52,70 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(definition)
         size = self.tokenizer.get_vocab_size()
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        # ids of pieces and words: those met last, and those met before them
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _split(self, text: str) -> list[str] | None:
+    def _usual_text(self, text: str) -> bool:
         try:
             odd = text.encode("latin-1").translate(None, self._usual)
         except UnicodeEncodeError:
-            return None
-        return None if odd or "<|" in text else text.lower().split()
+            return False
+        return not odd and "<|" not in text
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Encode words side by side; each ends with the token that closes a word."""
+        learnt = {}
         lots = [words[i:i + 256] for i in range(0, len(words), 256)]  # short ones cost the tokenizer least a word
         for some, found in zip(lots, self.tokenizer.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False)):
             ids = np.array(found.ids, dtype="<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(ends) == len(some):
                 data = ids.tobytes()
-                for w, start, end in zip(some, [0, *ends], ends):
-                    self.words[w] = data[4 * start:4 * end]
+                learnt.update((w, data[4 * start:4 * end]) for w, start, end in zip(some, [0, *ends], ends))
             else:
-                self.words.update((w, self._plain(w)) for w in some)
+                learnt.update((w, self._plain(w)) for w in some)
+        return learnt
+
+    def _known(self, found: list[str]) -> list[bytes]:
+        """Ids of each of these distinct pieces of texts."""
+        if len(self.young) >= REMEMBERED // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        ids = list(map(young.get, found))
+        alone, joined = [], {}
+        for at in [at for at, have in enumerate(ids) if have is None]:
+            piece = found[at]
+            have = old.get(piece)
+            if have is not None:
+                ids[at] = young[piece] = have
+            elif piece.isalpha():
+                alone.append(at)
+            else:
+                joined[at] = tuple(self._words.findall(piece))
+        words = {w for ws in joined.values() for w in ws}
+        here = {w: have for w in words if (have := young.get(w) or old.get(w))}
+        here.update(self._learn(list(words.difference(here).union(map(found.__getitem__, alone)))))
+        young.update(here)
+        for at in alone:
+            ids[at] = here[found[at]]
+        for at, ws in joined.items():
+            ids[at] = young[found[at]] = here[ws[0]] if len(ws) == 1 else b"".join([here[w] for w in ws])
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [self._split(t) for t in texts]
-        for remembered in (self.pieces, self.words):
-            if len(remembered) >= REMEMBERED:
-                remembered.clear()
-        seen = set()
-        for ws in split:
-            if ws:
-                seen.update(ws)
-        # these texts' pieces in a small table of their own, which is looked up much faster than the large one
-        held, words = self.pieces.get, self.words
-        here = {piece: held(piece) for piece in seen}
-        new = {piece: self._words.findall(piece) for piece, ids in here.items() if ids is None}
-        self._learn(list({w for ws in new.values() for w in ws}.difference(words)))
-        new = {piece: words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for piece, ws in new.items()}
-        self.pieces.update(new)
-        here.update(new)
-        return [self._plain(t) if ws is None else b"".join(map(here.__getitem__, ws)) for t, ws in zip(texts, split)]
+        usual = [self._usual_text(t) for t in texts]
+        split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array([t if u else "" for t, u in zip(texts, usual)], pa.large_string())))
+        coded = split.values.dictionary_encode()
+        ids = pa.array(self._known(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        starts = np.frombuffer(ids.buffers()[1], dtype=np.int64, count=len(ids) + 1)
+        ends = starts[split.offsets.to_numpy()].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [bytes(data[lo:hi]) if u else self._plain(t) for t, u, lo, hi in zip(texts, usual, ends, ends[1:])]
 
 
 def pieces(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
@@ -110,8 +131,10 @@ def pieces(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
         for batch in batches:
             texts = [t.decode() for t in batch_texts(batch.column(1))]
             rows = []
-            for lot in range(0, len(texts), 128):
-                for at, ids in enumerate(coder.encode(texts[lot:lot + 128]), lot):
+            ends = np.cumsum([len(t) for t in texts]) // LOT_CHARS
+            for lot in np.unique(ends):
+                first, last = np.searchsorted(ends, [lot, lot + 1]).tolist()
+                for at, ids in enumerate(coder.encode(texts[first:last]), first):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                         part = ids[4 * start:4 * (start + capacity)]
