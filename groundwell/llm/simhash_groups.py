@@ -22,6 +22,8 @@ from .common import batch_texts, components, spanning_edges, stored
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: Fingerprints of one cell that one task takes as residents; visitors of fuller cells are dealt over several tasks.
 CELL_ROWS = 8192
+#: Fingerprints on either side of one block of comparisons: the pairs of a block exist at once, all of them in a group of near copies.
+BLOCK = 256
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -98,11 +100,12 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def cell_links(homes: np.ndarray, guests: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links among residents and visitors of one cell, compared block by block."""
     a, b = np.empty(0, np.int64), np.empty(0, np.int64)
-    for i in range(0, len(guests), 1024):
-        for j in range(0, len(homes), 1024):
-            near = apart(guests[i:i + 1024, None], homes[None, j:j + 1024]) <= most
-            g, h = np.nonzero(near)
-            a, b = spanning_edges(np.concatenate([a, guests[i:i + 1024][g]]), np.concatenate([b, homes[j:j + 1024][h]]))
+    for i in range(0, len(guests), BLOCK):
+        for j in range(0, len(homes), BLOCK):
+            some, others = guests[i:i + BLOCK], homes[j:j + BLOCK]
+            g, h = np.nonzero(apart(some[:, None], others[None, :]) <= most)
+            if len(g):
+                a, b = spanning_edges(np.concatenate([a, some[g]]), np.concatenate([b, others[h]]))
     return a, b
 
 
@@ -120,7 +123,7 @@ def _meet(most: int):
             work = homes * guests
             # small cells together: every resident-visitor pair of each, in bounded lots
             small = np.flatnonzero((homes > 0) & (guests > 0) & (ends - starts > 2) & (work <= 4096))
-            lots = np.split(small, np.searchsorted(np.cumsum(work[small]), np.arange(1 << 20, work[small].sum() + 1, 1 << 20)))
+            lots = np.split(small, np.searchsorted(np.cumsum(work[small]), np.arange(BLOCK ** 2, work[small].sum() + 1, BLOCK ** 2)))
             for lot in lots:
                 if not len(lot):
                     continue
