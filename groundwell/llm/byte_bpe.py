@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batch_texts, checked_broadcast
+from .common import batch_texts, checked_broadcast, gives_back
 
 #: Bytes encoded directly at a leaf of the tree.
 LEAF = 24
@@ -156,6 +156,7 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: s
     shared = checked_broadcast(docs.sparkSession, (ranks, pattern), sum(map(len, ranks)) + 64 * len(ranks))
     kind = docs.schema[key].dataType.simpleString()
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = TreeBpe(*shared.value)
         for batch in batches:

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_texts, checked_broadcast, whole
+from .common import batch_texts, checked_broadcast, gives_back, whole
 
 #: Labelled rows of each class that fitting may take, and bytes of text of each class.
 FIT_ROWS, FIT_BYTES = 1_500, 8 << 20
@@ -138,6 +138,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     shared = checked_broadcast(docs.sparkSession, model, len(model.good) + len(model.bad))
     kind = docs.schema[key].dataType.simpleString()
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
@@ -152,6 +153,7 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float =
     shared = checked_broadcast(docs.sparkSession, model, len(model.good) + len(model.bad))
     at = docs.columns.index(text)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(scores(batch_texts(batch.column(at)), shared.value) >= least))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from tokenizers import Tokenizer
 
-from .common import batch_texts, checked_broadcast, stored
+from .common import batch_texts, checked_broadcast, gives_back, stored
 
 CAPACITY, END_ID = 4096, 1
 #: Large lengths are those above this share of the capacity; they are cut into so many groups. A smaller share
@@ -124,6 +124,7 @@ def pieces(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "t
     shared = checked_broadcast(docs.sparkSession, definition, len(definition))
     kind = docs.schema[key].dataType.simpleString()
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         coder, task, end = WordTokenizer(shared.value), TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
@@ -318,6 +319,7 @@ def pack(docs: DataFrame, definition: str, key: str = "doc_id", text: str = "tex
     shared = checked_broadcast(docs.sparkSession, runs, runs.nbytes)
     kind = docs.schema[key].dataType.simpleString()
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         starts = np.searchsorted(table[:, 0], np.arange(capacity + 2))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_texts, stored, whole
+from .common import batch_texts, gives_back, stored, whole
 
 THRESHOLD, ANCHOR = 50, 24
 #: Bytes of text whose digits one bucket takes, and bytes that are hashed at once.
@@ -206,6 +206,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
 
+    @gives_back
     def first_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[], [], []]
@@ -246,6 +247,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     signs = rows.select("key", "text").mapInArrow(first_digit, packed).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: settle(t), packed)
     told = stored(signs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: strings_by_key(t), "key long, settled binary, unclear binary"))
 
+    @gives_back
     def last_digit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[], []]
@@ -288,6 +290,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     singles = last.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: settle_windows(t), packed)
     singles = singles.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: windows_by_key(t), "key long, single binary")
 
+    @gives_back
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], [], []]

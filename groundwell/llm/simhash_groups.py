@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_texts, components, spanning_edges, stored
+from .common import batch_texts, components, gives_back, spanning_edges, stored
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 3
 #: Fingerprints of one cell that one task takes as residents; visitors of fuller cells are dealt over several tasks.
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     """key, fp (long, the 64 bits) of each whole text. Null text is empty, with fingerprint zero. No shuffle."""
     kind = docs.schema[key].dataType.simpleString()
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, width) for t in batch_texts(batch.column(1))], dtype=np.uint64)
@@ -110,6 +111,7 @@ def cell_links(homes: np.ndarray, guests: np.ndarray, most: int) -> tuple[np.nda
 
 
 def _meet(most: int):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Input sorted by cell; a cell may run over several batches."""
         left = None
