@@ -209,7 +209,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     Rows that repeat a key are one document.
     """
-    grouped = stored(groups(docs, key, text, width, most))
+    return keep_heads(docs, groups(docs, key, text, width, most), key)
+
+
+def keep_heads(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows of `docs` that `keep_one` keeps of groups found (key, component_id)."""
+    grouped = stored(found)
     heads = grouped.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("_head")).agg(F.count(F.lit(1)).alias("_copies"))
     single, several = (heads.where(c).select("_head").hint("shuffle_hash") for c in ("_head is null or _copies = 1", "_head is not null and _copies > 1"))
     return docs.join(single, docs[key].eqNullSafe(F.col("_head")), "left_semi").union(
