@@ -4,7 +4,8 @@ Found entities are brought to a plain form, so that spellings of one entity coun
 entity gets one surrogate for the whole corpus, drawn from a keyed digest: people stay apart, and the
 same person stays the same. A surrogate that equals another one or an entity of the corpus is drawn anew.
 Occurrences then take the surrogate in their own format: digits in the same places, the same
-letter case, given names of the title's gender, letters of the same script. Only DataFrame functions are used.
+letter case, given names of the title's gender, letters of the same script. Names are found after a title; wherever
+a name found so stands in the same document without one, it takes the same surrogate. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ from .common import stored, whole
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "г-жа"),
     "m": ("Mr", "Herr", "Monsieur", "Señor", "г-н"),
+    "n": ("Dr", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "д-р", "проф"),
 }
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу", "greek": "αειου"}
 CONSONANTS = {"latin": "bdfgklmnprstv", "cyrillic": "бвгдклмнпрст", "greek": "βγδκλμνπρστ"}
 
 _TITLE = r"(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?"
+# Letters with inner hyphens and apostrophes, but no 's at the end; an initial counts only in a row of names.
+_PART = r"['’-](?!s(?!\p{L}))\p{L}++"
+_WORD = rf"(?!{_TITLE}(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}++(?:{_PART})*+|(?:{_PART})++)"
+_NAME = rf"(?:{_WORD}|\p{{Lu}}(?:\.|(?![\p{{L}}\p{{N}}'’-])))"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
@@ -34,21 +40,33 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![\p{L}0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
              r"|(?<![\p{L}0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
-    "name": rf"(?=\p{{Lu}}\p{{L}})(?<=(?<!\p{{L}}){_TITLE} (?:\p{{Lu}}[\p{{L}}'-]{{1,30}} )?)\p{{Lu}}[\p{{L}}'-]{{1,30}}",
+    # a name word takes the space before the next one along, so that the next one starts where it ends
+    "name": rf"(?=\p{{Lu}})(?:(?<=(?<!\p{{L}}){_TITLE} )|\G(?<= )){_NAME}(?: (?={_NAME}))?",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Where a text has names: also every capitalised word, which may be a name found elsewhere in the text.
+_ANY_OR_WORD = rf"{_ANY}|(?<![\p{{L}}'’-]){_WORD}"
+NAMES = ("given_f", "given_m", "given_n", "initial", "surname")
 #: Draws after which surrogates grow by a letter or digit, so that a crowded format cannot run out.
 CROWDED = 4
 
 
-def _kind(raw: Column, before: Column, after: Column) -> Column:
+def _kind(raw: Column, before: Column, last: Column, title: Column) -> Column:
+    """`before` is the text since the match `last`; `title` the text that ends with the title of a row of names."""
     digits = F.length(F.regexp_replace(raw, "[^0-9]", ""))
-    female = F.regexp_like(before, F.lit(r"(?<!\p{L})(?:" + "|".join(TITLES["f"]) + r")\.? $"))
-    male = F.regexp_like(before, F.lit(r"(?<!\p{L})(?:" + "|".join(TITLES["m"]) + r")\.? $"))
+
+    def of(*sexes):
+        return F.regexp_like(title, F.lit(r"(?<!\p{L})(?:" + "|".join(t for s in sexes for t in TITLES[s]) + r")\.? $"))
+
+    named = F.when(before == "", F.endswith(last, F.lit(" "))).otherwise(of(*TITLES))
+    name = (
+        F.when(~F.coalesce(named, F.lit(False)), "bare").when(F.regexp_like(raw, F.lit(r"^\p{Lu}\.? ?$")), "initial")
+        .when(~F.endswith(raw, F.lit(" ")), "surname").when(of("f"), "given_f").when(of("m"), "given_m").otherwise("given_n")
+    )
     return (
         F.when(F.instr(raw, "@") > 0, "email")
         .when(F.regexp_like(raw, F.lit(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$")), "ip")
-        .when(digits == 0, F.when((after == " ") & female, "given_f").when((after == " ") & male, "given_m").otherwise("surname"))
+        .when(digits == 0, name)
         .when(F.regexp_like(raw, F.lit(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")), "ssn")
         .when((digits == 16) & ~F.startswith(raw, F.lit("+")), "card").otherwise("phone")
     )
@@ -59,17 +77,23 @@ def _plain(kind: Column, raw: Column) -> Column:
     digits = F.regexp_replace(raw, "[^0-9]", "")
     # a country code of 1 before ten digits does not change a number
     number = F.when((F.length(digits) == 11) & F.startswith(digits, F.lit("1")), F.substring(digits, 2, 10)).otherwise(digits)
-    return F.when(kind == "phone", number).when(kind.isin("card", "ssn"), digits).otherwise(F.lower(raw))
+    return F.when(kind == "phone", number).when(kind.isin("card", "ssn"), digits).otherwise(F.lower(F.rtrim(raw)))
 
 
 def detect(text: Column) -> Column:
-    """Entities of a text in order: array of struct(start, end, kind, plain, raw), code points from 0."""
-    gaps, found = F.split(text, _ANY, -1), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))
+    """Entities of a text in order: array of struct(start, end, kind, plain, raw), code points from 0.
+
+    In a text with names, the other capitalised words follow as kind "bare".
+    """
+    pattern = F.when(F.regexp_like(text, F.lit(PATTERNS["name"])), _ANY_OR_WORD).otherwise(_ANY)
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
 
     def build(pair):
         def item(raw, i):
-            before, after = F.get(pair["gaps"], i), F.get(pair["gaps"], i + 1)
-            kind = _kind(raw, before, after)
+            before, from_ = F.get(pair["gaps"], i), F.greatest(i - 15, F.lit(0))
+            # in a row of names (for the gender, of up to 16) the last text between matches ends with the title
+            title = F.when(before != "", before).otherwise(F.get(F.reverse(F.filter(F.slice(pair["gaps"], from_ + 1, i - from_ + 1), lambda g: g != "")), F.lit(0)))
+            kind = _kind(raw, before, F.get(pair["found"], i - 1), F.coalesce(title, F.lit("")))
             return F.struct(F.length(before).alias("gap"), F.length(raw).alias("width"), kind.alias("kind"), _plain(kind, raw).alias("plain"), raw.alias("raw"))
         return F.transform(pair["found"], item)
 
@@ -164,10 +188,11 @@ def _dress(kind: Column, raw: Column, surrogate: Column) -> Column:
             F.substring(numbers, F.length(F.regexp_replace(F.substring(raw, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1)),
         ).otherwise(c)), "")
 
-    cased = F.when((F.upper(raw) == raw) & (F.lower(raw) != raw) & (F.length(raw) > 1), F.upper(surrogate)).when(
+    space = F.when(F.endswith(raw, F.lit(" ")), " ").otherwise("")
+    cased = F.when(kind == "initial", F.concat(F.upper(F.substring(surrogate, 1, 1)), F.when(F.instr(raw, ".") > 0, ".").otherwise(""))).when((F.upper(raw) == raw) & (F.lower(raw) != raw) & (F.length(F.rtrim(raw)) > 1), F.upper(surrogate)).when(
         kind == "email", surrogate
     ).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
-    return F.when(kind == "ip", surrogate).when(kind.isin("card", "phone", "ssn"), let(F.concat(code, surrogate), fill)).otherwise(cased)
+    return F.when(kind == "ip", surrogate).when(kind.isin("card", "phone", "ssn"), let(F.concat(code, surrogate), fill)).otherwise(F.concat(cased, space))
 
 
 def replace(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -182,9 +207,17 @@ def replace(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text
     digest = F.xxhash64("_key", "_text")
     found = stored(rows.select(digest.alias("_row"), detect(F.col("_text")).alias("_found")).where("_found is not null").dropDuplicates(["_row"]))
     single = found.select("_row", F.posexplode("_found").alias("_at", "_e")).select("_row", "_at", "_e.*")
+    # in one document a name is one entity, with a title or without
+    is_name = F.col("kind").isin(*NAMES)
+    known = single.where(is_name).groupBy("_row", "plain").agg(F.min("kind").alias("_known"))
+    words = single.where(is_name | (F.col("kind") == "bare")).join(known, ["_row", "plain"], "left").withColumn("kind", F.coalesce("_known", "kind"))
+    every = stored(single.where(~is_name & (F.col("kind") != "bare")).unionByName(words.drop("_known")))
+    single, untouched = every.where("kind != 'bare'"), every.where("kind = 'bare'")
     chosen = stored(surrogates(single.select("kind", "plain"), secret))
     dressed = single.join(chosen, ["kind", "plain"]).select("_row", F.struct("_at", "gap", "width", _dress(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("new")).alias("_s"))
-    swaps = dressed.groupBy("_row").agg(F.sort_array(F.collect_list("_s")).alias("_swaps"))
+    kept = untouched.select("_row", F.struct("_at", "gap", "width", F.col("raw").alias("new")).alias("_s"), F.lit(0).alias("_n"))
+    dressed = dressed.withColumn("_n", F.lit(1)).union(kept)
+    swaps = dressed.groupBy("_row").agg(F.sort_array(F.collect_list("_s")).alias("_swaps"), F.sum("_n").alias("_n"))
 
     def rebuild(swaps):
         # running end of each gap and match; the text is cut between them
@@ -203,5 +236,5 @@ def replace(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text
     together = rows.withColumn("_row", digest).join(swaps.hint("shuffle_hash"), "_row", "left")
     return together.select(
         F.col("_key").alias(key), F.when(F.col("_swaps").isNotNull(), rebuild(F.col("_swaps"))).otherwise(F.col("_text")).alias(text),
-        F.coalesce(F.size("_swaps"), F.lit(0)).cast("long").alias("n_entities"),
+        F.coalesce("_n", F.lit(0)).cast("long").alias("n_entities"),
     )
