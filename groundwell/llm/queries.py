@@ -10,6 +10,7 @@ from . import (
     compression_quality,
     grouped_packing,
     hashing_search,
+    middle_rotation,
     ownership_secrets,
     projection_forest,
     radix_repeats,
@@ -85,7 +86,16 @@ def op10_simhash_groups(spark, sf):
     return simhash_groups.groups(_table(spark, sf, "documents", "doc_id", "text"))
 
 
+def op13_middle_rotation(spark, sf):
+    found = middle_rotation.restore(middle_rotation.transform(_table(spark, sf, "documents", "doc_id", "text")))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_surrogate_pii, op2_redirect_urls, op3_radix_repeats, op4_projection_forest, op5_compression_quality,
     op6_grouped_packing, op7_hashing_search, op8_byte_bpe, op9_ownership_secrets, op10_simhash_groups,
+    op13_middle_rotation,
 )}
