@@ -115,6 +115,25 @@ SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (k
 FROM d LEFT JOIN k USING (r) GROUP BY d.r, doc_id
 """
 
+OP12 = """
+WITH r AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS s
+  FROM (SELECT * FROM r WHERE id % 100 = 0) a JOIN r b ON a.id <> b.id
+), g AS (
+  SELECT anchor_id, id AS positive_id, s AS positive_score FROM p WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= 5
+)
+SELECT g.anchor_id, positive_id, (row_number() OVER (PARTITION BY g.anchor_id, positive_id ORDER BY s DESC, id))::INT AS rank,
+  id AS negative_id, positive_score, s AS negative_score
+FROM g JOIN p ON p.anchor_id = g.anchor_id AND NOT same AND 80 * positive_score <= 100 * s AND 100 * s <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
 OP13 = """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
@@ -134,4 +153,4 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre)
 FROM p
 """
 
-SQL = {"op2_redirect_urls": OP2, "op3_radix_repeats": OP3, "op7_hashing_search": OP7, "op9_ownership_secrets": OP9, "op13_middle_rotation": OP13}
+SQL = {"op2_redirect_urls": OP2, "op3_radix_repeats": OP3, "op7_hashing_search": OP7, "op9_ownership_secrets": OP9, "op12_angular_negatives": OP12, "op13_middle_rotation": OP13}

@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import (
+    angular_negatives,
     byte_bpe,
     compression_quality,
+    deleted_interpolation,
     grouped_packing,
     hashing_search,
     middle_rotation,
@@ -86,6 +88,17 @@ def op10_simhash_groups(spark, sf):
     return simhash_groups.groups(_table(spark, sf, "documents", "doc_id", "text"))
 
 
+def op11_deleted_interpolation(spark, sf):
+    digest = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = deleted_interpolation.score(
+        _table(spark, sf, "documents", "doc_id", "text"), learn=digest % 7 != 2, deleted=F.floor(digest / 7) % 8 == 0)
+    return found.withColumn("held_out", F.coalesce(digest % 7 == 2, F.lit(False)))
+
+
+def op12_angular_negatives(spark, sf):
+    return angular_negatives.mine(_table(spark, sf, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op13_middle_rotation(spark, sf):
     found = middle_rotation.restore(middle_rotation.transform(_table(spark, sf, "documents", "doc_id", "text")))
     return found.select(
@@ -97,5 +110,5 @@ def op13_middle_rotation(spark, sf):
 QUERIES = {f.__name__: f for f in (
     op1_surrogate_pii, op2_redirect_urls, op3_radix_repeats, op4_projection_forest, op5_compression_quality,
     op6_grouped_packing, op7_hashing_search, op8_byte_bpe, op9_ownership_secrets, op10_simhash_groups,
-    op13_middle_rotation,
+    op11_deleted_interpolation, op12_angular_negatives, op13_middle_rotation,
 )}
