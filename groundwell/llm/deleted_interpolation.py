@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from .common import batch_texts, forget, gives_back, stored
 
 #: Bytes of text of a lot and of a shard's share of the questions.
-LOT_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
+LOT_BYTES, SHARD_BYTES = 6 << 20, 6 << 20
 #: Rounds of expectation-maximisation at most, and the change of all weights at which it ends before.
 ROUNDS, SETTLED = 12, 0.002
 #: The end of a text is a token, and what comes before its first word. No word can equal it.
-END = b"\n"
+END = b""
 #: Weights before the first round; after a context never seen there is no bigram estimate.
 START, UNSEEN = (1 / 3, 1 / 3, 1 / 3), (1 / 2, 1 / 2, 0.0)
 _COLUMNS = ("keys", "ends", "learn", "deleted", "words", "tokens")
@@ -52,14 +52,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def squeezed(numbers: np.ndarray) -> bytes:
-    """Small numbers of 32 bits, byte planes apart, compressed."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    """Numbers of 64 bits as compressed byte planes: the planes that are zero throughout cost nothing."""
+    planes = np.ascontiguousarray(numbers.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T)
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def expanded(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel().view(np.int64)
+
+
+def joined(words: list[bytes]) -> bytes:
+    """Words, which hold no white space, as one compressed text."""
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def parted(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b"\n")
+
+
+def _shard(digest: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of digests, so that sorted digests lie shard by shard."""
+    return ((digest >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
 
 
 class Lot:
@@ -74,10 +88,12 @@ class Lot:
             return
         digest = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
         with np.errstate(over="ignore"):
-            self.digests = _mixed(_mixed(digest)[self.pairs // len(words)] + digest[self.pairs % len(words)])
-        # a stable order by shard, so that the answers can be put back in their places
-        self.word_shard, self.pair_shard = (x % np.uint64(shards) for x in (_mixed(digest), self.digests))
-        self.word_order, self.pair_order = np.argsort(self.word_shard, kind="stable"), np.argsort(self.pair_shard, kind="stable")
+            pair = _mixed(_mixed(digest)[self.pairs // len(words)] + digest[self.pairs % len(words)])
+        # an order by digest, so that the answers can be put back in their places
+        self.word_order, self.pair_order = np.argsort(digest, kind="stable"), np.argsort(pair, kind="stable")
+        self.digests = pair[self.pair_order]
+        bounds = np.arange(shards + 1)
+        self.word_cuts, self.pair_cuts = (np.searchsorted(_shard(d, shards).astype(np.int64), bounds) for d in (digest[self.word_order], self.digests))
 
     def counts(self) -> list[np.ndarray]:
         """How often each word and each pair occurs in learning texts and in the deleted ones of them."""
@@ -100,10 +116,10 @@ def lots(docs: DataFrame, key: str, text: str, learn: Column, deleted: Column) -
         def row():
             learned, gone = np.array(flags).T
             size = np.array(sizes)
-            parts = [pa.concat_arrays(keys), pa.array(np.cumsum(size)), pa.array(learned), pa.array(gone), pa.array(list(index), pa.binary())]
+            parts = [pa.concat_arrays(keys), pa.array(np.cumsum(size)), pa.array(learned), pa.array(gone)]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(p)], pa.int32()), p) for p in parts]
             sums = [pa.array([int(size[which].sum())]) for which in (learned, learned & ~gone)]
-            columns = [pa.array([first + number]), *sums, *lists, pa.array([squeezed(np.concatenate(numbers))])]
+            columns = [pa.array([first + number]), *sums, *lists, pa.array([joined(list(index))]), pa.array([squeezed(np.concatenate(numbers))])]
             return pa.RecordBatch.from_arrays(columns, ["lot", "n", "n_kept", *_COLUMNS])
 
         for batch in batches:
@@ -127,20 +143,20 @@ def lots(docs: DataFrame, key: str, text: str, learn: Column, deleted: Column) -
             yield row()
 
     picked = docs.select(key, text, F.coalesce(learn, F.lit(False)).alias("_learn"), F.coalesce(deleted, F.lit(False)).alias("_deleted"))
-    return picked.mapInArrow(run, f"lot long, n long, n_kept long, keys array<{kind}>, ends array<long>, learn array<boolean>, deleted array<boolean>, words array<binary>, tokens binary")
+    return picked.mapInArrow(run, f"lot long, n long, n_kept long, keys array<{kind}>, ends array<long>, learn array<boolean>, deleted array<boolean>, words binary, tokens binary")
 
 
 def _read(batch: pa.RecordBatch | pa.Table, row: int, shards: int) -> Lot:
     cell = lambda name: batch.column(name)[row].values.to_numpy(zero_copy_only=False)
-    return Lot(batch.column("words")[row].as_py(), expanded(batch.column("tokens")[row].as_py()), cell("ends"), cell("learn").astype(bool), cell("deleted").astype(bool), shards)
-
-
-def _lists(values, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values, kind))
+    return Lot(parted(batch.column("words")[row].as_py()), expanded(batch.column("tokens")[row].as_py()), cell("ends"), cell("learn").astype(bool), cell("deleted").astype(bool), shards)
 
 
 def questions(found: DataFrame, shards: int) -> DataFrame:
-    """One row per lot and shard: the words and pairs of the lot that fall to the shard, and how often the lot counted them."""
+    """One row per lot and shard: the words and pairs of the lot that fall to the shard, and how often the lot counted them.
+
+    `counts` holds the counts of the words, of the words in deleted texts, of the pairs and of the pairs in deleted texts;
+    the digests of the pairs are sorted and told as differences.
+    """
 
     @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,21 +164,21 @@ def questions(found: DataFrame, shards: int) -> DataFrame:
             for row in range(batch.num_rows):
                 lot = _read(batch, row, shards)
                 word, word_deleted, pair, pair_deleted = lot.counts()
-                cuts = [np.searchsorted(s[o], np.arange(shards + 1).astype(np.uint64)) for s, o in ((lot.word_shard, lot.word_order), (lot.pair_shard, lot.pair_order))]
-                columns = [
-                    _lists([lot.words[i] for i in lot.word_order], cuts[0], pa.binary()),
-                    *(_lists(c[lot.word_order], cuts[0], pa.int32()) for c in (word, word_deleted)),
-                    _lists(lot.digests[lot.pair_order].view(np.int64), cuts[1], pa.int64()),
-                    *(_lists(c[lot.pair_order], cuts[1], pa.int32()) for c in (pair, pair_deleted)),
-                ]
-                some = np.flatnonzero(np.diff(cuts[0]) + np.diff(cuts[1]))
-                out = pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(shards, dtype=np.int32)), pa.array(np.full(shards, batch.column("lot")[row].as_py())), *columns],
-                    ["shard", "lot", "words", "wc", "wd", "pairs", "pc", "pd"])
-                yield out.take(pa.array(some))
+                words = [lot.words[i] for i in lot.word_order]
+                placed = [word[lot.word_order], word_deleted[lot.word_order], pair[lot.pair_order], pair_deleted[lot.pair_order]]
+                rows = []
+                for shard in range(shards):
+                    (a, b), (c, d) = lot.word_cuts[shard:shard + 2], lot.pair_cuts[shard:shard + 2]
+                    if b > a or d > c:
+                        counts = np.concatenate([placed[0][a:b], placed[1][a:b], placed[2][c:d], placed[3][c:d]])
+                        rows.append((shard, int(b - a), joined(words[a:b]), squeezed(np.diff(lot.digests[c:d], prepend=np.uint64(0))), squeezed(counts)))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(
+                    [columns[0], pa.array(np.full(len(rows), batch.column("lot")[row].as_py())), *columns[1:]],
+                    ["shard", "lot", "n_words", "words", "pairs", "counts"])
 
     asked = found.select("lot", *[c for c in _COLUMNS if c != "keys"])
-    return asked.mapInArrow(run, "shard int, lot long, words array<binary>, wc array<int>, wd array<int>, pairs array<long>, pc array<int>, pd array<int>")
+    return asked.mapInArrow(run, "shard int, lot long, n_words int, words binary, pairs binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -170,29 +186,30 @@ def answers(asked: DataFrame) -> DataFrame:
 
     A row without a lot tells how many words of the shard occur in learning texts, and in those that are not deleted.
     """
-    names = ["shard", "lot", "wc", "wd", "pc", "pd", "v", "v_kept"]
 
     def run(table: pa.Table) -> pa.Table:
-        flat = lambda name: table.column(name).combine_chunks()
-        words = flat("words").flatten().dictionary_encode()
-        code, distinct = words.indices.to_numpy(), len(words.dictionary)
-        _, pair = np.unique(flat("pairs").flatten().to_numpy(), return_inverse=True)
-        out, totals = [], []
-        for which, size, columns in ((code, distinct, ("wc", "wd")), (pair, int(pair.max(initial=-1)) + 1, ("pc", "pd"))):
-            for name in columns:
-                cells = flat(name)
-                total = np.bincount(which, weights=cells.flatten().to_numpy(), minlength=size).astype(np.int64)
-                totals.append(total)
-                cuts = np.r_[0, np.cumsum(cells.value_lengths().to_numpy())]
-                out.append(_lists(total[which], cuts, pa.int64()))
-        n = table.num_rows
-        none, empty = pa.nulls(n, pa.int64()), pa.nulls(1, pa.list_(pa.int64()))
-        told = pa.RecordBatch.from_arrays([flat("shard"), flat("lot"), *out, none, none], names)
-        sums = [pa.array([int(np.count_nonzero(totals[0]))]), pa.array([int(np.count_nonzero(totals[0] - totals[1]))])]
-        about = pa.RecordBatch.from_arrays([flat("shard").slice(0, 1), pa.nulls(1, pa.int64()), *[empty] * 4, *sums], names)
-        return pa.Table.from_batches([told, about])
-
-    return asked.groupBy("shard").applyInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, ["int", "long", *["array<long>"] * 4, "long", "long"])))
+        sizes = table.column("n_words").to_pylist()
+        words = [w for blob, n in zip(table.column("words").to_pylist(), sizes) if n for w in parted(blob)]
+        with np.errstate(over="ignore"):
+            pairs = [np.cumsum(expanded(blob).view(np.uint64), dtype=np.uint64) for blob in table.column("pairs").to_pylist()]
+        counts = [expanded(blob) for blob in table.column("counts").to_pylist()]
+        word = pa.array(words, pa.binary()).dictionary_encode()
+        _, pair = np.unique(np.concatenate(pairs), return_inverse=True)
+        parts = [np.split(c, [n, 2 * n, 2 * n + len(p)]) for c, n, p in zip(counts, sizes, pairs)]
+        told, totals = [], []
+        for i, which, distinct in ((0, word.indices.to_numpy(), len(word.dictionary)), (1, word.indices.to_numpy(), len(word.dictionary)),
+                                   (2, pair, int(pair.max(initial=-1)) + 1), (3, pair, int(pair.max(initial=-1)) + 1)):
+            total = np.bincount(which, weights=np.concatenate([p[i] for p in parts]), minlength=distinct).astype(np.int64)
+            totals.append(total)
+            told.append(np.split(total[which], np.cumsum([len(p[i]) for p in parts])[:-1]))
+        blobs = [squeezed(np.concatenate(row)) for row in zip(*told)]
+        shard, n = table.column("shard").to_pylist()[0], table.num_rows
+        v = [int(np.count_nonzero(totals[0])), int(np.count_nonzero(totals[0] - totals[1]))]
+        columns = [[shard] * n + [shard], table.column("lot").to_pylist() + [None], [*sizes, None], [*blobs, None], [None] * n + v[:1], [None] * n + v[1:]]
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["shard", "lot", "n_words", "counts", "v", "v_kept"])
+
+    return asked.groupBy("shard").applyInArrow(run, "shard int, lot long, n_words int, counts binary, v long, v_kept long")
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
@@ -212,24 +229,29 @@ def _events(lot: Lot, word: np.ndarray, word_deleted: np.ndarray, pair: np.ndarr
 
 
 def answered(found: DataFrame, told: DataFrame, shards: int, kept_tokens: int) -> DataFrame:
-    """Each lot with the counts of its words and pairs and the events of its deleted texts."""
+    """Each lot with the counts of its words and then of its pairs, and the events of its deleted texts."""
     schema = {f.name: f.dataType.simpleString() for f in found.schema}
-    out = ", ".join(f"{n} {t}" for n, t in schema.items()) + ", wc array<long>, pc array<long>, eb array<double>, e1 array<double>, e2 array<double>, en array<double>"
+    out = ", ".join(f"{n} {t}" for n, t in schema.items()) + ", counts binary, eb array<double>, e1 array<double>, e2 array<double>, en array<double>"
 
     def run(_, left: pa.Table, right: pa.Table) -> pa.Table:
         lot = _read(left, 0, shards)
         right = right.sort_by("shard")
+        parts = [[] for _ in range(4)]
+        for n, blob in zip(right.column("n_words").to_pylist(), right.column("counts").to_pylist()):
+            counts = expanded(blob)
+            for part, some in zip(parts, np.split(counts, [n, 2 * n, (len(counts) + 2 * n) // 2])):
+                part.append(some)
         placed = []
-        for name, order in (("wc", lot.word_order), ("wd", lot.word_order), ("pc", lot.pair_order), ("pd", lot.pair_order)):
+        for part, order in zip(parts, (lot.word_order, lot.word_order, lot.pair_order, lot.pair_order)):
             values = np.empty(len(order), dtype=np.int64)
-            values[order] = right.column(name).combine_chunks().flatten().to_numpy()
+            values[order] = np.concatenate(part)
             placed.append(values)
         events, often = _events(lot, *placed, kept_tokens)
-        more = [pa.array([x], pa.list_(pa.int64())) for x in (placed[0], placed[2])]
+        more = [pa.array([squeezed(np.concatenate([placed[0], placed[2]]))])]
         more += [pa.array([x], pa.list_(pa.float64())) for x in (events[:, 0], events[:, 1], events[:, 2], often)]
-        return pa.table([*left.columns, *more], names=[*left.schema.names, "wc", "pc", "eb", "e1", "e2", "en"])
+        return pa.table([*left.columns, *more], names=[*left.schema.names, "counts", "eb", "e1", "e2", "en"])
 
-    told = told.where("lot is not null").select("shard", "lot", "wc", "wd", "pc", "pd")
+    told = told.where("lot is not null").select("shard", "lot", "n_words", "counts")
     return found.groupBy("lot").cogroup(told.groupBy("lot")).applyInArrow(run, out)
 
 
@@ -291,7 +313,7 @@ def score(docs: DataFrame, learn: Column, deleted: Column, key: str = "doc_id",
     ready = stored(answered(found, told, shards, n_kept))
     forget(told)
     forget(found)
-    table = nearest_weights(weights_of(ready, v_kept))
+    table = nearest_weights(weights_of(ready, v_kept)) if n else np.tile([1.0, 0.0, 0.0], (66, 1))
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -300,7 +322,7 @@ def score(docs: DataFrame, learn: Column, deleted: Column, key: str = "doc_id",
         for batch in batches:
             for row in range(batch.num_rows):
                 lot = _read(batch, row, 0)
-                word, pair = (batch.column(name)[row].values.to_numpy() for name in ("wc", "pc"))
+                word, pair = np.split(expanded(batch.column("counts")[row].as_py()), [len(lot.words)])
                 starts = np.r_[0, lot.ends[:-1]]
                 context = word[lot.pairs // len(lot.words)]
                 mix = table[bucket(context)]
@@ -311,4 +333,4 @@ def score(docs: DataFrame, learn: Column, deleted: Column, key: str = "doc_id",
                     batch.column("keys")[row].values, pa.array(lot.ends - starts), pa.array(sums[0]), pa.array(np.full(len(starts), n)), pa.array(sums[1]), pa.array(sums[2])
                 ], names)
 
-    return ready.select(*_COLUMNS, "wc", "pc").mapInArrow(run, f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return ready.select(*_COLUMNS, "counts").mapInArrow(run, f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from groundwell.llm import deleted_interpolation as di
 from groundwell.llm.queries import op11_deleted_interpolation
 
-END = "\n"
+END = ""
 
 
 def tokens(text):
@@ -67,6 +67,8 @@ def plain(rows, rounds=di.ROUNDS):
     learned = {b for b in weights if b and events and b in after}
     for b in range(1, 66):
         table.append(weights[b] if b in learned else (table[b - 1] if b > 1 else di.START))
+    if not n:
+        table = [(1.0, 0.0, 0.0)] * 66
     out = []
     for key, text, _, _ in rows:
         seen = tokens(text)
