@@ -817,3 +817,33 @@ w AS (SELECT user_id, 0::BIGINT AS r, 0 AS failures, 0::BIGINT AS closed, 0::BIG
     c.event_id, c.t >= w.closed, c.t >= w.closed AND c.failed AND w.failures = 2
   FROM w JOIN c ON c.user_id = w.user_id AND c.r = w.r + 1)
 SELECT user_id, event_id, attempted, opened FROM w WHERE r > 0"""
+
+# --- reuse and failures -------------------------------------------------------------------------
+
+SQL["response_reuse"] = r"""
+WITH a AS (SELECT conv_id || '::' || turn AS qid, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS k, length(text) % 3 = 0 AS early
+  FROM conversations WHERE role = 'user'),
+k AS (SELECT k, bool_or(early) AS first, length(k) % 5 = 0 AS down FROM a GROUP BY k),
+r AS (SELECT run, qid, down, CASE WHEN run = 2 AND first AND NOT down THEN 1 WHEN run = 4 AND NOT first AND NOT down THEN 2 ELSE run END AS made
+  FROM a JOIN k USING (k), (VALUES (1), (2), (3), (4)) runs(run) WHERE run > 1 OR early)
+SELECT run, qid, 'run ' || made AS answer, CASE WHEN made <> run THEN 'hit' END AS cache, CASE WHEN down THEN 'intent_classifier' ELSE '' END AS degraded FROM r"""
+
+SQL["answer_trace"] = f"""
+WITH RECURSIVE asked AS (SELECT conv_id || '::' || turn AS id, text FROM conversations WHERE role = 'user'), {rewritten('asked')},
+q AS (SELECT id, length(text) AS n, length(rewritten) % 5 = 0 AS unblended, len({toks('rewritten')}) > 0 AS worded, {screen('text', 'intent')} AS rule
+  FROM asked JOIN rew USING (id)),
+s AS (SELECT *, rule IS NULL AND n % 7 = 0 AS closed, rule IS NULL AND n % 7 <> 0 AS scope FROM q),
+f AS (SELECT *, scope AND unblended AS f_blend, scope AND (worded OR NOT unblended) AS found FROM s),
+rk AS (SELECT *, found AND n % 4 = 0 AS f_rank, found AND n % 4 <> 0 AS ranked FROM f),
+h AS (SELECT *, ranked AND n % 3 = 0 AS f_draft, ranked AND n % 3 <> 0 AND n % 11 = 0 AS f_support,
+  ranked AND n % 3 <> 0 AND n % 11 <> 0 AND n % 13 = 0 AS f_framing FROM rk)
+SELECT id AS qid, ranked AND NOT (f_draft OR f_support OR f_framing) AS answered,
+  CASE WHEN closed THEN 'out_of_domain' WHEN rule IS NOT NULL THEN rule WHEN NOT ranked THEN 'low_confidence' WHEN f_draft THEN 'model_declined'
+    WHEN f_support THEN 'ungrounded_output' WHEN f_framing THEN 'unsafe_output' END AS refusal_reason,
+  concat_ws('|', CASE WHEN closed THEN 'intent_classifier' END, CASE WHEN f_blend THEN 'blend' END, CASE WHEN f_rank THEN 'reranker' END,
+    CASE WHEN f_draft THEN 'generator' END, CASE WHEN f_support THEN 'support_judge' END, CASE WHEN f_framing THEN 'safety_classifier' END) AS degraded,
+  'intent' || CASE WHEN scope THEN ',retrieve,rerank,confidence' ELSE '' END || CASE WHEN ranked THEN ',generate,output_gate' ELSE '' END AS stages,
+  CASE WHEN NOT scope THEN 'no retrieval performed' END AS short_circuited,
+  CASE WHEN f_blend THEN 'failed' WHEN scope THEN 'used' END AS blend,
+  CASE WHEN ranked THEN CASE WHEN f_draft OR f_support OR f_framing THEN 'false' ELSE 'true' END END AS passed
+FROM h"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from groundwell.config import Settings
 from groundwell.functions import keys, text, vectors
 from groundwell.functions.bind import unroll
+from groundwell.functions.outcome import guarded
 from groundwell.operators import (
     accounts,
     chunking,
@@ -28,12 +29,15 @@ from groundwell.operators import (
     sections_text,
     wording,
 )
-from groundwell.operators.intent import rule_screen
+from groundwell.operators.intent import classify, rule_screen
 from groundwell.operators.rerank import rerank
 from groundwell.operators.rewrite import rewrite
 from groundwell.plans import answer as answering
 from groundwell.plans import index as indexing
+from groundwell.plans.reuse import reuse
+from groundwell.schemas import CITATIONS, CLAIMS, RESPONSE
 from groundwell.session import broadcast_if_small, cut_lineage, scratch_folder
+from groundwell.sources.memo import ExpiringTable
 from groundwell.streaming import jobs
 
 from .tables import documents, drafted_answers, questions, spread, table, turns, typeset_lines
@@ -509,6 +513,79 @@ def answer_responses(spark, sf):
     )
 
 
+def _user_turns(spark, sf) -> DataFrame:
+    talk = spread(table(spark, sf, "conversations")).where("role = 'user'")
+    return talk.select(F.format_string("%d::%d", "conv_id", "turn").alias("qid"), F.col("text").alias("query"))
+
+
+@query
+def response_reuse(spark, sf):
+    """User turns asked in four runs: some at first, then all half a lifetime later, all unscreened, and all when the first have expired.
+
+    Every answer names the run that made it. The model is down for questions of every fifth length; what it then gave is not kept.
+    """
+    lifetime = SETTINGS.response_ttl_s * 1000
+    responses = ExpiringTable(spark, f"{scratch_folder(spark)}/responses-{uuid.uuid4().hex}", RESPONSE, SETTINGS.response_ttl_s)
+    asked = cut_lineage(_user_turns(spark, sf))
+    runs = ((1, 0, True, F.length("query") % 3 == 0), (2, lifetime // 2, True, F.lit(True)), (3, lifetime // 2, False, F.lit(True)), (4, lifetime + 1, True, F.lit(True)))
+    out = None
+    for run, now, screen, some in runs:
+
+        def compute(unique, run=run):
+            down = F.length(F.lower(text.squeeze(F.col("query")))) % 5 == 0
+            intent = classify(F.col("query"))["intent"]
+            return unique.select(
+                F.col("qid").alias("response_key"), (intent == "in_scope").alias("answered"), F.lit(f"run {run}").alias("answer"), F.array().cast(CLAIMS).alias("claims"),
+                F.array().cast(CITATIONS).alias("citations"), F.nullif(intent, F.lit("in_scope")).alias("refusal_reason"), F.lit(None).cast("double").alias("top_score"),
+                F.lit(wording.DISCLAIMER).alias("disclaimer"), F.create_map(F.lit("intent"), intent).alias("trace"),
+                F.when(down, F.array(F.lit("intent_classifier"))).otherwise(F.array().cast("array<string>")).alias("degraded"),
+            )
+
+        got = reuse(asked.where(some), compute, responses, SETTINGS, screen, now).select(
+            F.lit(run).alias("run"), "qid", "answer", F.col("trace")["cache"].alias("cache"), _joined("degraded").alias("degraded"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query
+def answer_trace(spark, sf):
+    """User turns asked of the benchmark passages, with providers that fail by the length of a question: each of the six stages alone, and together."""
+    def failing(stage, every, give, n=len):
+        def call(rows):
+            for row in rows:
+                if n(row[0]) % every == 0:
+                    raise TimeoutError(stage)
+            return [give] * len(rows)
+
+        return call
+
+    intent = guarded(failing("intent_classifier", 7, {"intent": "in_scope", "reason": "fine"}), "struct<intent:string,reason:string>")
+    passage = guarded(failing("blend", 5, "the guidelines on the subject"), "string")
+    draft = guarded(failing("generator", 3, "drafted"), "string")
+    support = guarded(failing("support_judge", 11, [True]), "array<boolean>")
+    framing = guarded(failing("safety_classifier", 13, [], lambda said: len(said) - len(" [C1]")), "array<string>")
+
+    def hypothetical(rows):
+        return rows.withColumn("o", passage(F.col("rewritten"))).select("qid", F.col("o.value").alias("passage"), F.col("o.error").alias("error"))
+
+    def drafts(kept):
+        first = kept.where("marker = 'C1'").withColumn("o", draft(F.col("question")))
+        claim = F.struct(F.col("question").alias("text"), F.array("marker").alias("chunk_ids"))
+        said = F.when(F.col("o.value").isNotNull(), F.concat("question", F.lit(" [C1]")))
+        return first.select("qid", said.alias("answer"), F.array(claim).alias("claims"), F.col("o.value").isNull().alias("insufficient_context"), F.col("o.error").alias("error"))
+
+    providers = answering.Providers(
+        intent=intent, hypothetical=hypothetical, scorer=guarded(failing("reranker", 4, 9.0), "double"), draft=drafts,
+        support=lambda claims, _: support(F.get(claims, F.lit(0))["text"]), framing=framing)
+    passages = table(spark, sf, "benchmark").select(
+        F.col("item_id").cast("string").alias("chunk_id"), F.col("item_id").cast("string").alias("doc_id"), F.lit("Passages").alias("title"), F.lit("Body").alias("section_path"),
+        F.lit(0).alias("page_start"), F.lit(0).alias("page_end"), F.lit("").alias("source_url"), "text")
+    out = answering.answer(_user_turns(spark, sf), answering.build_index(passages, providers), providers)
+    return out.select(
+        "qid", "answered", "refusal_reason", _joined("degraded").alias("degraded"), F.col("trace")["stages"].alias("stages"),
+        F.col("trace")["short_circuited"].alias("short_circuited"), F.col("trace")["blend"].alias("blend"), F.col("trace")["passed"].alias("passed"))
+
+
 # --- evaluation ---------------------------------------------------------------------------------
 
 

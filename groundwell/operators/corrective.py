@@ -24,7 +24,7 @@ def merge_retry(
     scored = first.where(F.col("rerank_score").isNotNull())
     pool = (
         scored.withColumn("_pass", F.lit(0)).withColumn("_at", F.col("place"))
-        .unionByName(score_pool(unscored, scorer).withColumn("_pass", F.lit(0)).withColumn("_at", F.col("place")))
+        .unionByName(score_pool(unscored, scorer).withColumn("_pass", F.lit(0)).withColumn("_at", F.col("place")), allowMissingColumns=True)
         .unionByName(fresh.withColumn("_pass", F.lit(1)).withColumn("_at", F.col("rank")), allowMissingColumns=True)
     )
     order = [F.desc_nulls_last("rerank_score"), F.asc("_pass"), F.asc("_at"), F.asc(item)]

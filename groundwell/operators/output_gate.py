@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bind import let
+from ..functions.outcome import unwrap
 from ..functions.text import numbers, overlap_share, prose_sentences, strip, strip_markers, words
 from ..schemas import CLAIMS
 
@@ -27,6 +28,8 @@ SupportJudge = Callable[[Column, Column], Column]
 FramingJudge = Callable[[Column], Column]
 
 _NO_STRINGS = "array<string>"
+#: The flag of an answer whose framing nobody judged.
+UNJUDGED = "safety classifier unavailable"
 
 
 def cited_ids(claims: Column) -> Column:
@@ -152,7 +155,8 @@ def validate(
     """Adds the verdict to rows of (answer, claims, insufficient_context, passages, query).
 
     New columns: passed, reason, detail, invalid_citations, unsupported_numbers,
-    unsupported_claims, safety_flags, final_answer, final_claims.
+    unsupported_claims, safety_flags, final_answer, final_claims, support_error, framing_error: why a judge gave
+    nothing, if its call failed. A judge that gives nothing counts against the answer.
     """
     none = F.array().cast(_NO_STRINGS)
     declined = F.coalesce("insufficient_context", F.lit(False)) | (strip(F.coalesce("answer", F.lit(""))) == "")
@@ -171,8 +175,9 @@ def validate(
         ).otherwise(none),
     )
     live = live & (F.size("unsupported_numbers") == 0)
+    step = unwrap(step.withColumn("_support", support(F.when(live, F.col("claims")), F.col("passages"))), "_support", "support_error")
     judged = F.zip_with(
-        F.col("claims"), support(F.col("claims"), F.col("passages")),
+        F.col("claims"), F.coalesce("_support", F.array().cast("array<boolean>")),
         lambda c, ok: F.struct(c["text"].alias("text"), F.coalesce(ok, F.lit(False)).alias("ok")),
     )
     step = step.withColumn(
@@ -191,7 +196,8 @@ def validate(
     step = step.withColumn("final_answer", F.coalesce("_repaired.answer", "answer")).withColumn(
         "final_claims", F.coalesce("_repaired.claims", "claims")
     )
-    step = step.withColumn("safety_flags", F.when(grounded, framing(F.col("final_answer"))).otherwise(none))
+    step = unwrap(step.withColumn("_framing", framing(F.when(grounded, F.col("final_answer")))), "_framing", "framing_error")
+    step = step.withColumn("safety_flags", F.when(grounded, F.coalesce("_framing", F.array(F.lit(UNJUDGED)))).otherwise(none))
 
     def listed(name):
         return F.array_join(name, ", ")
@@ -226,5 +232,5 @@ def validate(
         step.withColumn("reason", reason)
         .withColumn("detail", detail)
         .withColumn("passed", F.col("reason").isNull())
-        .drop("_declined", "_repaired")
+        .drop("_declined", "_repaired", "_support", "_framing")
     )

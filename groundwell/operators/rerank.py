@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.outcome import unwrap
 from ..functions.text import overlap_share, words
 from .lexical import ranked
 
@@ -23,8 +24,8 @@ def overlap_scorer(question: Column, passage: Column) -> Column:
 
 
 def score_pool(pool: DataFrame, scorer: Scorer = overlap_scorer) -> DataFrame:
-    """Adds rerank_score to rows that carry `question` and `text`."""
-    return pool.withColumn("rerank_score", scorer(F.col("question"), F.col("text")))
+    """Adds rerank_score to rows that carry `question` and `text`, and rerank_error: why a row has no score, if its call failed."""
+    return unwrap(pool.withColumn("rerank_score", scorer(F.col("question"), F.col("text"))), "rerank_score", "rerank_error")
 
 
 def rerank(pool: DataFrame, scorer: Scorer = overlap_scorer) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions.bind import let
-from ..functions.keys import cache_key
-from ..functions.text import overlap_share, sentences, squeeze, words
+from ..functions.keys import cache_key, embedding_key
+from ..functions.outcome import unwrap
+from ..functions.text import overlap_share, sentences, words
 from ..functions.vectors import blend
 from ..operators import confidence, corrective, lexical, output_gate, wording
 from ..operators.dense import cosine_topk, mean_unit_vector
@@ -29,6 +30,8 @@ from ..operators.skew import skew_safe_join
 from ..schemas import CITATIONS, CLAIMS
 from ..session import broadcast_if_small, cut_lineage
 from ..sources.embeddings import hashing_embedder
+from ..sources.memo import Memory
+from .reuse import reuse
 
 
 def extractive_drafts(kept: DataFrame) -> DataFrame:
@@ -62,7 +65,11 @@ def extractive_drafts(kept: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Providers:
-    """Everything a model would do. The defaults work offline and are stand-ins, not equals."""
+    """Everything a model would do. The defaults work offline and are stand-ins, not equals.
+
+    A provider that may fail says so as data: `intent`, `scorer`, `support` and `framing` may give struct(value, error), as
+    `functions.outcome.guarded` does, and the tables of `hypothetical` and `draft` may hold a column `error`.
+    """
 
     embed: Callable[[Column], Column] = field(default_factory=hashing_embedder)
     intent: Callable[[Column], Column] | None = None
@@ -84,43 +91,76 @@ class Index:
     vectors: DataFrame
 
 
-def build_index(passages: DataFrame, providers: Providers = Providers()) -> Index:
+def embedded(rows: DataFrame, text: str, providers: Providers, settings: Settings, memory: Memory | None = None, now_ms: int | None = None) -> DataFrame:
+    """`rows` with the `vector` of a text column; with a memory, only texts it does not hold are embedded."""
+    if memory is None:
+        return rows.withColumn("vector", providers.embed(F.col(text)))
+    key = embedding_key(settings.embed_model, settings.embed_dim, F.col(text))
+    made = memory.vectors.read_through(
+        rows, key, text, lambda missing: missing.select("key", providers.embed(F.col("text")).cast("array<double>").alias("vector")), now_ms)
+    return made.drop("error")
+
+
+def build_index(passages: DataFrame, providers: Providers = Providers(), settings: Settings = Settings(), memory: Memory | None = None,
+                now_ms: int | None = None) -> Index:
     from ..operators.chunking import contextual_text, index_text
 
     texts = passages.select(
         F.col("chunk_id").alias("doc_id"),
         index_text(F.col("title"), F.col("section_path"), F.col("text")).alias("text"),
     )
-    vectors = passages.select(
-        "chunk_id",
-        providers.embed(contextual_text(F.col("title"), F.col("section_path"), F.col("text"))).alias("vector"),
-    )
+    whole = passages.select("chunk_id", contextual_text(F.col("title"), F.col("section_path"), F.col("text")).alias("_whole"))
+    vectors = embedded(whole, "_whole", providers, settings, memory, now_ms).select("chunk_id", "vector")
     return Index(passages, lexical.build_corpus(texts), vectors)
 
 
-def _question_vectors(asked: DataFrame, providers: Providers, settings: Settings) -> tuple[DataFrame, bool]:
-    """qid, first, wide: the vectors of both passes, and whether they differ."""
-    base = asked.select("qid", "rewritten", providers.embed(F.col("rewritten")).alias("vector"))
+def _drafted(asked: DataFrame, providers: Providers, settings: Settings, memory: Memory | None, now_ms: int | None) -> DataFrame:
+    """qid, passages, error: what the provider wrote for each question; with a memory, only for questions it does not hold."""
+    def write(missing: DataFrame) -> DataFrame:
+        rows = providers.hypothetical(missing.select(F.col("key").alias("qid"), F.col("text").alias("rewritten")))
+        error = F.max("error") if "error" in rows.columns else F.lit(None).cast("string")
+        return rows.groupBy(F.col("qid").alias("key")).agg(F.sort_array(F.collect_list("passage")).alias("passages"), error.alias("error"))
+
+    key = cache_key(F.lit(settings.blend_model or settings.guard_model), F.lit(settings.blend_version), F.lit(str(settings.blend_n)), F.col("rewritten"))
+    if memory is None:
+        distinct = asked.groupBy(key.alias("key")).agg(F.any_value("rewritten").alias("text"))
+        return asked.select("qid", key.alias("key")).join(write(distinct), "key", "left").drop("key")
+    # an empty result is no failure, and is not kept either
+    def kept(missing: DataFrame) -> DataFrame:
+        return write(missing).withColumn("error", F.when(F.size("passages") == 0, F.coalesce("error", F.lit(""))).otherwise(F.col("error")))
+
+    made = memory.passages.read_through(asked.select("qid", "rewritten"), key, "rewritten", kept, now_ms)
+    return made.select("qid", "passages", F.nullif("error", F.lit("")).alias("error"))
+
+
+def question_vectors(asked: DataFrame, providers: Providers, settings: Settings, memory: Memory | None = None, now_ms: int | None = None) -> tuple[DataFrame, bool]:
+    """qid, first, wide, blended, blend_error: the vectors of both passes; and whether they may differ.
+
+    A question whose passages could not be drafted is searched by its own vector alone.
+    """
+    base = embedded(asked.select("qid", "rewritten"), "rewritten", providers, settings, memory, now_ms)
     if providers.hypothetical is None or not settings.blend_enabled or settings.blend_n < 1:
-        return base.select("qid", F.col("vector").alias("first"), F.col("vector").alias("wide")), False
-    drafted = providers.hypothetical(asked.select("qid", "rewritten"))
-    means = mean_unit_vector(
-        drafted.select("qid", providers.embed(F.col("passage")).alias("vector")), "qid"
-    )
-    both = base.join(means, "qid", "left")
+        alone = base.select("qid", F.col("vector").alias("first"), F.col("vector").alias("wide"))
+        return alone.withColumn("blended", F.lit("disabled")).withColumn("blend_error", F.lit(None).cast("string")), False
+    drafted = cut_lineage(_drafted(asked, providers, settings, memory, now_ms))
+    parts = drafted.select("qid", F.explode("passages").alias("passage"))
+    means = mean_unit_vector(embedded(parts, "passage", providers, settings, memory, now_ms).select("qid", "vector"), "qid")
+    both = base.join(means, "qid", "left").join(drafted.select("qid", F.col("error").alias("blend_error")), "qid", "left")
     query, mean = F.col("vector").cast("array<double>"), F.col("mean")
     return both.select(
         "qid", blend(query, mean, settings.blend_weight).alias("first"),
         blend(query, mean, settings.corrective_blend_weight).alias("wide"),
+        F.when(F.col("blend_error").isNotNull(), "failed").when(mean.isNull(), "no passage").otherwise("used").alias("blended"), "blend_error",
     ), True
 
 
 def retrieve(
-    asked: DataFrame, index: Index, providers: Providers, settings: Settings
+    asked: DataFrame, index: Index, providers: Providers, settings: Settings, vectors: tuple[DataFrame, bool] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """First pass, wide pass (both with question and passage columns), and the orphan hits.
 
-    `asked` (qid, question, rewritten) is read several times, so pass it with its lineage cut.
+    `asked` (qid, question, rewritten) is read several times, so pass it with its lineage cut, and `vectors`, of
+    `question_vectors`, too.
     Both passes of a question are two rows of one dense search, told apart by the first character of their id.
     """
     deep = max(settings.retrieve_k, settings.corrective_k)
@@ -128,8 +168,10 @@ def retrieve(
         lexical.bm25_topk(index.corpus, asked.select("qid", "rewritten"), deep, text="rewritten")
         .withColumnRenamed("doc_id", "chunk_id")
     )
-    vectors, differ = _question_vectors(asked, providers, settings)
-    vectors = cut_lineage(vectors)
+    if vectors is None:
+        found, differ = question_vectors(asked, providers, settings)
+        vectors = cut_lineage(found), differ
+    vectors, differ = vectors
     sides = [("first", "0")] + ([("wide", "1")] if differ else [])
     tagged = reduce(
         DataFrame.unionByName,
@@ -170,27 +212,37 @@ def answer(
     providers: Providers = Providers(),
     settings: Settings = Settings(),
     screen: bool = True,
+    memory: Memory | None = None,
+    now_ms: int | None = None,
 ) -> DataFrame:
     """One response per question (qid, query): every exit gives one, refusals included.
 
-    Questions alike but for case and spacing are answered once, then joined back to each asker.
+    Questions alike but for case and spacing are answered once, then joined back to each asker. With a memory, live
+    responses, vectors and drafted passages of earlier runs are used, and new ones kept.
     """
-    key = cache_key(F.lit(settings.fingerprint), F.lower(squeeze(F.col("query"))), F.lit(str(screen)))
-    keyed = questions.select("qid", "query", key.alias("response_key"))
-    unique = cut_lineage(
-        keyed.groupBy(F.col("response_key").alias("qid")).agg(F.min_by("query", "qid").alias("query"))
-    )
-    model = providers.intent(F.col("query")) if providers.intent else None
+    def compute(unique: DataFrame) -> DataFrame:
+        return _run(unique, index, providers, settings, screen, memory, now_ms)
+
+    return reuse(questions, compute, memory and memory.responses, settings, screen, now_ms)
+
+
+def _run(unique: DataFrame, index: Index, providers: Providers, settings: Settings, screen: bool, memory: Memory | None, now_ms: int | None) -> DataFrame:
+    """Responses to distinct questions (qid, query)."""
+    model, asked = None, unique.withColumn("_model_error", F.lit(None).cast("string"))
+    if providers.intent is not None and screen:
+        asked = unwrap(unique.withColumn("_model", providers.intent(F.col("query"))), "_model", "_model_error")
+        model = F.col("_model")
     screened = cut_lineage(
-        unique.withColumn("intent", classify(F.col("query"), model, screen)).withColumn(
-            "rewrite", rewrite(F.col("query"))
-        )
+        asked.withColumn("intent", classify(F.col("query"), model, screen)).withColumn("rewrite", rewrite(F.col("query")))
+        .select("qid", "query", "intent", "rewrite", F.when(F.col("intent.rule") == "fail-closed", F.coalesce("_model_error", F.lit("no label"))).alias("intent_error"))
     )
     live = screened.where(F.col("intent.intent") == "in_scope").select(
         "qid", F.col("query").alias("question"), F.col("rewrite.rewritten").alias("rewritten")
     )
 
-    first, wide, lost = retrieve(live, index, providers, settings)
+    vectors, differ = question_vectors(live, providers, settings, memory, now_ms)
+    vectors = cut_lineage(vectors)
+    first, wide, lost = retrieve(live, index, providers, settings, (vectors, differ))
     scored = cut_lineage(rerank(first, providers.scorer))
     verdict = cut_lineage(confidence.verdicts(scored, live, settings))
     again = verdict.where(F.col("action") == "correct").select("qid")
@@ -214,6 +266,9 @@ def answer(
     )
     columns = [c for c in scored.columns]
     pool = scored.join(again, "qid", "left_anti").unionByName(merged.select(*columns))
+    scores = F.transform(F.slice(F.sort_array(F.collect_list("rerank_score"), asc=False), 1, 5), lambda score: score.cast("string"))
+    scoring = pool.groupBy("qid").agg(
+        F.count("rerank_score").cast("string").alias("scored"), F.array_join(scores, ", ").alias("top_scores"), F.max("rerank_error").alias("rerank_error"))
     kept = cut_lineage(confidence.kept_passages(pool, settings))
 
     number = F.substr(F.col("marker"), F.lit(2)).cast("int")
@@ -232,24 +287,37 @@ def answer(
         F.transform("_passages", lambda p: F.struct(p["chunk_id"].alias("chunk_id"), p["marker"].alias("marker"), p["text"].alias("text"))).alias("passages"),
         F.transform("_citations", lambda c: c.dropFields("n")).cast(CITATIONS).alias("citations"),
     )
+    drafted = providers.draft(kept)
+    if "error" not in drafted.columns:
+        drafted = drafted.withColumn("error", F.lit(None).cast("string"))
     drafts = (
-        context.join(providers.draft(kept), "qid", "left")
+        context.join(drafted.withColumnRenamed("error", "draft_error"), "qid", "left")
         .withColumn("insufficient_context", F.coalesce("insufficient_context", F.lit(True)))
         .join(screened.select("qid", "query"), "qid")
     )
     checked = output_gate.validate(drafts, providers.support, providers.framing).select(
         "qid", "citations", "passed", F.col("reason").alias("gate_reason"), F.col("detail").alias("gate_detail"),
         "final_answer", "final_claims", "invalid_citations", "unsupported_numbers", "unsupported_claims",
-        "safety_flags",
+        "safety_flags", F.size("claims").cast("string").alias("n_claims"), F.col("insufficient_context").cast("string").alias("insufficient"),
+        "draft_error", "support_error", "framing_error",
     )
-    return respond(keyed, screened, final, checked, lost)
+    about = vectors.select("qid", "blended", "blend_error").join(scoring, "qid", "left")
+    return respond(screened, final, checked, lost, about)
+
+
+#: The stages whose failure is told in `degraded`, in the order they run, and the column that holds a failure of each.
+STAGES = (
+    ("intent_classifier", "intent_error"), ("blend", "blend_error"), ("reranker", "rerank_error"),
+    ("generator", "draft_error"), ("support_judge", "support_error"), ("safety_classifier", "framing_error"),
+)
 
 
-def respond(keyed: DataFrame, screened: DataFrame, final: DataFrame, checked: DataFrame, lost: DataFrame) -> DataFrame:
-    """Fold every exit into one response row and give it to each asker of the question."""
+def respond(screened: DataFrame, final: DataFrame, checked: DataFrame, lost: DataFrame, about: DataFrame) -> DataFrame:
+    """Fold every exit into one response row: what was decided, the trace of each stage, and the stages that failed."""
     orphaned = lost.groupBy("qid").agg(F.count("*").alias("n_orphans"))
     rows = (
-        screened.join(final, "qid", "left").join(checked, "qid", "left").join(orphaned, "qid", "left")
+        screened.join(final, "qid", "left").join(checked, "qid", "left").join(orphaned, "qid", "left").join(about, "qid", "left")
+        .withColumn("rerank_error", F.coalesce("rerank_error", F.when((F.col("n_results") > 0) & F.col("top_score").isNull(), "no scores")))
     )
     intent = F.col("intent.intent")
     reason = (
@@ -258,8 +326,21 @@ def respond(keyed: DataFrame, screened: DataFrame, final: DataFrame, checked: Da
         .otherwise(F.col("gate_reason"))
     )
     answered = F.col("refusal_reason").isNull()
+    in_scope = intent == "in_scope"
+    stages = F.array_join(F.filter(F.array(
+        F.lit("intent"), *[F.when(in_scope, name) for name in ("retrieve", "rerank", "confidence")],
+        F.when(F.col("first_action") == "correct", "corrective"), F.when(F.col("gate_detail").isNotNull(), "generate"),
+        F.when(F.col("gate_detail").isNotNull(), "output_gate"),
+    ), lambda s: s.isNotNull()), ",")
+    checks = ("invalid_citations", "unsupported_numbers", "unsupported_claims", "safety_flags")
+    listed = [x for name in checks for x in (F.lit(name), F.nullif(F.array_join(name, ", "), F.lit("")))]
+    failures = [x for name, column in STAGES for x in (F.lit(f"{name}_error"), F.col(column))]
     trace = F.map_filter(
         F.create_map(
+            F.lit("stages"), stages, F.lit("short_circuited"), F.when(~in_scope, "no retrieval performed"),
+            F.lit("blend"), F.col("blended"), F.lit("scored"), F.col("scored"), F.lit("top_scores"), F.nullif("top_scores", F.lit("")),
+            F.lit("claims"), F.col("n_claims"), F.lit("insufficient_context"), F.col("insufficient"), F.lit("passed"), F.col("passed").cast("string"),
+            *listed, *failures,
             F.lit("intent"), intent, F.lit("intent_reason"), F.col("intent.reason"),
             F.lit("rule"), F.col("intent.rule"), F.lit("rewritten"), F.col("rewrite.rewritten"),
             F.lit("expansions"), F.array_join("rewrite.applied", "; "),
@@ -270,14 +351,8 @@ def respond(keyed: DataFrame, screened: DataFrame, final: DataFrame, checked: Da
         ),
         lambda _, v: v.isNotNull(),
     )
-    degraded = F.filter(
-        F.array(
-            F.when(F.col("intent.rule") == "fail-closed", "intent_classifier"),
-            F.when((F.col("n_results") > 0) & F.col("top_score").isNull(), "reranker"),
-        ),
-        lambda d: d.isNotNull(),
-    )
-    responses = rows.withColumn("refusal_reason", reason).select(
+    degraded = F.filter(F.array(*[F.when(F.col(column).isNotNull(), name) for name, column in STAGES]), lambda d: d.isNotNull())
+    return rows.withColumn("refusal_reason", reason).select(
         F.col("qid").alias("response_key"),
         answered.alias("answered"),
         F.when(answered, F.col("final_answer")).otherwise(wording.refusal_text(F.col("refusal_reason"))).alias("answer"),
@@ -286,4 +361,3 @@ def respond(keyed: DataFrame, screened: DataFrame, final: DataFrame, checked: Da
         "refusal_reason", "top_score", F.lit(wording.DISCLAIMER).alias("disclaimer"),
         trace.alias("trace"), degraded.alias("degraded"),
     )
-    return skew_safe_join(keyed, cut_lineage(responses), "response_key").drop("response_key")

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
+from ..functions.keys import embedding_key
 from ..operators.chunking import contextual_text
 from ..session import cut_lineage
+from ..sources.memo import ExpiringTable
 
 NULLABLE_STRINGS = ("specialty", "doc_version", "source_url")
 
@@ -18,10 +21,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def records(chunks: DataFrame, embed: Callable[[Column], Column]) -> DataFrame:
-    """Chunks with their vector; NULL strings become empty so that stored types are stable."""
+def records(chunks: DataFrame, embed: Callable[[Column], Column], vectors: ExpiringTable | None = None, settings: Settings = Settings(),
+            now_ms: int | None = None) -> DataFrame:
+    """Chunks with their vector; NULL strings become empty so that stored types are stable.
+
+    With a table of `vectors`, only texts it does not hold are embedded, each once, and kept there.
+    """
     text = contextual_text(F.col("title"), F.col("section_path"), F.col("text"))
-    return chunks.na.fill("", list(NULLABLE_STRINGS)).withColumn("vector", embed(text))
+    filled = chunks.na.fill("", list(NULLABLE_STRINGS))
+    if vectors is None:
+        return filled.withColumn("vector", embed(text))
+    key = embedding_key(settings.embed_model, settings.embed_dim, F.col("_whole"))
+    made = vectors.read_through(
+        filled.withColumn("_whole", text), key, "_whole", lambda missing: missing.select("key", embed(F.col("text")).cast("array<double>").alias("vector")), now_ms)
+    return made.drop("_whole", "error")
 
 
 def _content(chunks: DataFrame) -> Column:
@@ -40,8 +53,9 @@ def refresh(chunks: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held.join(same, "chunk_id", "left_semi"), chunks.join(same, "chunk_id", "left_anti")
 
 
-def build(chunks: DataFrame, path: str, embed: Callable[[Column], Column], recreate: bool = False) -> int:
-    """Write the index and return how many rows were embedded.
+def build(chunks: DataFrame, path: str, embed: Callable[[Column], Column], recreate: bool = False, vectors: ExpiringTable | None = None,
+          settings: Settings = Settings(), now_ms: int | None = None) -> int:
+    """Write the index and return how many rows were added or replaced. With `vectors`, texts embedded before are not embedded again.
 
     Without `recreate` only new and changed chunks are embedded: changed ones replace what the table held,
     vanished ones leave it, so running it again adds nothing. The new table is written beside the old one and
@@ -49,11 +63,11 @@ def build(chunks: DataFrame, path: str, embed: Callable[[Column], Column], recre
     """
     spark = chunks.sparkSession
     if recreate or not exists(spark, path):
-        records(chunks, embed).write.mode("overwrite").parquet(path)
+        records(chunks, embed, vectors, settings, now_ms).write.mode("overwrite").parquet(path)
         return spark.read.parquet(path).count()
     held = spark.read.parquet(path)
     kept, fresh = refresh(chunks, held)
-    fresh = cut_lineage(records(fresh, embed).select(*held.columns))
+    fresh = cut_lineage(records(fresh, embed, vectors, settings, now_ms).select(*held.columns))
     aside = f"{path.rstrip('/')}.next"
     kept.unionByName(fresh).write.mode("overwrite").parquet(aside)
     inserted = fresh.count()

@@ -20,6 +20,10 @@ CITATIONS = (
     "array<struct<marker:string,chunk_id:string,doc_id:string,title:string,section:string,"
     "pages:string,source_url:string,rerank_score:double>>"
 )
+RESPONSE = (
+    f"answered boolean, answer string, claims {CLAIMS}, citations {CITATIONS}, refusal_reason string, "
+    "top_score double, disclaimer string, trace map<string,string>, degraded array<string>"
+)
 EVAL_CASE = (
     "id string, query string, bucket string, expect_source string, expect_text string, note string"
 )

@@ -90,7 +90,7 @@ def test_eval_cases(spark, tmp_path):
     files.write_starter_cases(str(path))
     rows = files.read_eval_cases(spark, str(path)).collect()
     assert {r.bucket for r in rows} == {"answerable", "unanswerable", "personalized", "emergency", "out_of_domain"}
-    assert rows[0].expect_source == "Diagnosis" and rows[0].note == ""
+    assert rows[0].expect_source == "Baking" and rows[0].note
 
 
 def test_embedding_table_calls_the_provider_once_per_missing_text(spark, tmp_path):
