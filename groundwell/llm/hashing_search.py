@@ -24,9 +24,14 @@ BITS, SEGMENTS = 64, 4
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
-    """Bit i is 1 where part i of the vector is above zero; parts beyond `bits` are left out, missing ones are 0."""
+    """Bit i is 1 where part i of the vector is above zero; missing parts are 0. In a vector of more parts than `bits`, part i
+    stands for the sum of parts i, i + bits, i + 2 bits and so on, so that every part counts."""
+    def folded(v):
+        zero = F.lit(0.0)
+        return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.aggregate(F.filter(v, lambda _, at: at % bits == i), zero, lambda acc, x: acc + x))
+
     return F.aggregate(
-        F.slice(vector, 1, bits), F.struct(F.lit(0).cast("long").alias("code"), F.lit(0).alias("at")),
+        F.when(F.size(vector) > bits, folded(vector)).otherwise(vector), F.struct(F.lit(0).cast("long").alias("code"), F.lit(0).alias("at")),
         lambda acc, x: F.struct(
             F.when(x > 0, acc["code"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), acc["at"]))).otherwise(acc["code"]).alias("code"),
             (acc["at"] + 1).alias("at"),
@@ -61,6 +66,7 @@ def nearest(codes: DataFrame, k: int = 10, key: str = "vec_id", code: str = "cod
             for s in range(segments)
         ]))
 
+    # joins with stored tables name a shuffle: the size of compressed files says little about the size in memory
     index = stored(entries.select("code", "ids", cuts("code").alias("_s")).select("code", "ids", "_s.*"))
     done = None
     for radius in range(width + 1):
@@ -77,7 +83,7 @@ def nearest(codes: DataFrame, k: int = 10, key: str = "vec_id", code: str = "cod
                         ["q", "segment", "part"])
 
         asked = open_.select("q", cuts("q").alias("_s")).select("q", F.col("_s.segment").alias("segment"), F.col("_s.part").alias("part"))
-        met = asked.mapInArrow(probes, "q long, segment int, part long").join(index, ["segment", "part"]).select(
+        met = asked.mapInArrow(probes, "q long, segment int, part long").join(index.hint("shuffle_hash"), ["segment", "part"]).select(
             "q", "code", "ids", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")
         )
         # the k best (distance, id) of each query: codes are ranked inside each task before they move
@@ -93,14 +99,14 @@ def nearest(codes: DataFrame, k: int = 10, key: str = "vec_id", code: str = "cod
             proven = F.lit(True)
         ready = found.where(proven).select("q", "found")
         done = ready if done is None else done.union(ready)
-        rest = stored(open_.select("q").join(found.where(proven), "q", "left_anti").join(found.select("q", "found"), "q", "left").select(
+        rest = stored(open_.select("q").join(found.where(proven).hint("shuffle_hash"), "q", "left_anti").join(found.select("q", "found").hint("shuffle_hash"), "q", "left").select(
             "q", F.coalesce("found", F.array().cast("array<struct<distance:int,id:long>>")).alias("found")
         ))
         forget(open_)
         open_ = rest
         if not open_.limit(1).count():
             break
-    return queries.join(done, "q").select("query_id", F.posexplode("found").alias("_at", "_f")).select(
+    return queries.hint("shuffle_hash").join(done, "q").select("query_id", F.posexplode("found").alias("_at", "_f")).select(
         "query_id", (F.col("_at") + 1).alias("rank"), F.col("_f.id").alias(key), F.col("_f.distance").alias("distance")
     )
 
