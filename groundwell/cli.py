@@ -10,6 +10,7 @@ import argparse
 import json
 import sys
 import uuid
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -22,6 +23,7 @@ from .plans.ingest import CorpusNotClean, ingest
 from .schemas import TURN, USER
 from .session import build_session, cut_lineage
 from .sources import files
+from .sources.memo import Memory
 
 
 def _show(rows) -> None:
@@ -33,6 +35,10 @@ def _settings(data: Path) -> Settings:
     return Settings().calibrated(data / "calibration.json")
 
 
+def _memory(spark, data: Path, settings: Settings) -> Memory:
+    return Memory.at(spark, str(data / "memory"), settings)
+
+
 def _index(spark, data: Path, providers) -> answer.Index:
     stored = spark.read.parquet(str(data / "index"))
     passages = stored.drop("vector")
@@ -72,7 +78,8 @@ def run_ingest(spark, args, data):
 def run_index(spark, args, data):
     providers = answer.Providers()
     chunks = files.read_chunks(spark, str(data / "chunks")).drop("ord")
-    inserted = index.build(chunks, str(data / "index"), providers.embed, args.recreate)
+    settings = _settings(data)
+    inserted = index.build(chunks, str(data / "index"), providers.embed, args.recreate, _memory(spark, data, settings).vectors, settings)
     listed = files.read_manifest(spark, str(data / "manifest.yaml"))
     record = files.write_index_record(str(data / "index.json"), listed, chunks, inserted, "hashing", 64)
     print(json.dumps(record["counts"]))
@@ -80,10 +87,13 @@ def run_index(spark, args, data):
 
 
 def ask(spark, args, data):
-    providers = answer.Providers()
+    providers, settings = answer.Providers(), _settings(data)
+    if args.no_blend:
+        settings = replace(settings, blend_enabled=False)
     questions = spark.createDataFrame([(i, q) for i, q in enumerate(args.question)], "qid int, query string")
     out = answer.answer(
-        questions, _index(spark, data, providers), providers, _settings(data), screen=not args.no_screen
+        questions, _index(spark, data, providers), providers, settings, screen=not args.no_screen,
+        memory=None if args.no_cache else _memory(spark, data, settings),
     )
     if args.user:
         turns = accounts.as_turns(
@@ -173,7 +183,7 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("ask")
     p.add_argument("question", nargs="+")
     p.add_argument("--user", help="keep the turn in this user's history")
-    for flag in ("--json", "--trace", "--no-screen"):
+    for flag in ("--json", "--trace", "--no-screen", "--no-cache", "--no-blend"):
         p.add_argument(flag, action="store_true")
     p.set_defaults(run=ask)
     p = sub.add_parser("eval")

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..config import Settings
 from ..functions.keys import embedding_key
-from ..operators.skew import skew_safe_join
+from .memo import ExpiringTable
 
 EMBED_BATCH = 128  # fixed value: texts per provider call
 
@@ -63,17 +64,13 @@ def embed_texts(texts: DataFrame, provider: EmbedBatch, batch: int = EMBED_BATCH
 class EmbeddingTable:
     """Vectors keyed by digest of model, size and text, so changed text misses and moved ids hit."""
 
-    def __init__(self, spark: SparkSession, path: str, model: str, dim: int) -> None:
-        self.spark, self.path, self.model, self.dim = spark, path, model, dim
+    def __init__(self, spark: SparkSession, path: str, model: str, dim: int, ttl_s: int = Settings.embedding_ttl_s) -> None:
+        self.model, self.dim = model, dim
+        self.table = ExpiringTable(spark, path, "vector array<float>", ttl_s)
 
     def stored(self) -> DataFrame:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        place = hadoop.Path(self.path)
-        there = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
-        schema = "key string, vector array<float>"
-        if not there:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path)
+        """key, vector of all that is held and has not expired."""
+        return self.table.live()
 
     def embed(self, rows: DataFrame, provider: EmbedBatch, text: str = "text") -> DataFrame:
         """`rows` with their `vector`. Each distinct missing text is embedded once and kept.
@@ -81,9 +78,5 @@ class EmbeddingTable:
         Copies of one text share a key, so they are reduced to one before anything is called, and
         the join back keeps a much-copied text from landing in one task.
         """
-        keyed = rows.withColumn("key", embedding_key(self.model, self.dim, F.col(text)))
-        distinct = keyed.groupBy("key").agg(F.any_value(text).alias("text"))
-        missing = distinct.join(self.stored().select("key"), "key", "left_anti")
-        embed_texts(missing, provider).write.mode("append").parquet(self.path)
-        vectors = self.stored().dropDuplicates(["key"])
-        return skew_safe_join(keyed, vectors, "key").drop("key")
+        key = embedding_key(self.model, self.dim, F.col(text))
+        return self.table.read_through(rows, key, text, lambda missing: embed_texts(missing, provider)).drop("error")
