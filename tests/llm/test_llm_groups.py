@@ -15,6 +15,7 @@ import corpus_pipeline
 from groundwell.llm import (
     common,
     hashing_search,
+    near_copies,
     ownership_secrets,
     projection_forest,
     redirect_urls,
