@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,53 +15,41 @@ from ..functions.text import TokenCounter, count_tokens, sentences
 _SPAN = "array<struct<start:int,stop:int>>"
 
 
-def sentence_spans(sizes: Column, target: int, overlap: int) -> Column:
-    """Greedy packing as index spans [start, stop) over the sentence sizes.
+def packed_spans(sizes: Sequence[int], target: int, overlap: int) -> list[tuple[int, int]]:
+    """Greedy packing as index spans [start, stop) over sentence sizes, in one pass.
 
-    A pack is always a contiguous run of sentences, so the fold carries only where the open run
-    starts and the spans closed so far. Token totals come from prefix sums. When the next
-    sentence would overflow, the run is closed and the longest tail of at most `overlap` tokens
-    opens the next one. An oversized sentence that meets an empty run stands alone.
+    A pack is a contiguous run of sentences. When the next sentence would overflow it, it is closed and the longest tail of at
+    most `overlap` tokens opens the next one. An oversized sentence that meets an empty run stands alone. Only the open
+    run is carried: where it starts, and how many tokens it has.
     """
-    start = F.struct(
-        F.lit(0).alias("open"), F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans")
-    )
+    spans, start, held = [], 0, 0
+    for i, size in enumerate(sizes):
+        if start < i and held + size > target:
+            spans.append((start, i))
+            start, held = i, 0
+            while start > spans[-1][0] and held + sizes[start - 1] <= overlap:
+                start -= 1
+                held += sizes[start]
+        if start == i and size > target:
+            spans.append((i, i + 1))
+            start, held = i + 1, 0
+        else:
+            held += size
+    if start < len(sizes):
+        spans.append((start, len(sizes)))
+    return spans
 
-    def pack(sums):
-        def total(a, b):
-            return F.get(sums, b) - F.get(sums, a)
-
-        def step(state, size):
-            i = state["at"]
-            alone = (state["open"] == i) & (size > target)
-            full = (state["open"] < i) & (total(state["open"], i) + size > target)
-            tail = F.get(
-                F.filter(F.sequence(state["open"], i), lambda j: total(j, i) <= overlap), F.lit(0)
-            )
-            closed = F.struct(
-                state["open"].alias("start"), F.when(alone, i + 1).otherwise(i).alias("stop")
-            )
-            return F.struct(
-                F.when(alone, i + 1).when(full, tail).otherwise(state["open"]).alias("open"),
-                (i + 1).alias("at"),
-                F.when(alone | full, F.concat(state["spans"], F.array(closed)))
-                .otherwise(state["spans"]).alias("spans"),
-            )
-
-        def finish(state):
-            last = F.struct(state["open"].alias("start"), state["at"].alias("stop"))
-            return F.when(
-                state["open"] < state["at"], F.concat(state["spans"], F.array(last))
-            ).otherwise(state["spans"])
-
-        return F.aggregate(sizes, start, step, finish)
-
-    sums = F.aggregate(
-        sizes,
-        F.array(F.lit(0)),
-        lambda acc, n: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + n)),
-    )
-    return let(sums, pack)
+
+def sentence_spans(sizes: Column, target: int, overlap: int) -> Column:
+    """`packed_spans` of an array column. Only the sizes leave the JVM, in Arrow batches; time and memory follow their number."""
+
+    @F.pandas_udf(_SPAN)
+    def spans(lists: pd.Series) -> pd.Series:
+        return pd.Series([
+            None if one is None else [{"start": a, "stop": b} for a, b in packed_spans(one.tolist(), target, overlap)] for one in lists
+        ], dtype=object)
+
+    return spans(sizes)
 
 
 def merge_short_tail(pieces: Column, minimum: int, counter: TokenCounter = count_tokens) -> Column:
@@ -78,17 +69,10 @@ def pack_sentences(
     text: Column, target: int, overlap: int, counter: TokenCounter = count_tokens
 ) -> Column:
     """The packed pieces of a text, as an array of strings."""
-    def pieces(sents):
-        sizes = F.transform(sents, lambda s: counter(s).cast("int"))
-        return let(
-            sizes,
-            lambda ns: F.transform(
-                sentence_spans(ns, target, overlap),
-                lambda p: F.array_join(F.slice(sents, p["start"] + 1, p["stop"] - p["start"]), " "),
-            ),
-        )
-
-    return let(sentences(text), pieces)
+    sizes = F.transform(sentences(text), lambda s: counter(s).cast("int"))
+    both = F.struct(sentences(text).alias("sents"), sentence_spans(sizes, target, overlap).alias("spans"))
+    return let(both, lambda x: F.transform(
+        x["spans"], lambda p: F.array_join(F.slice(x["sents"], p["start"] + 1, p["stop"] - p["start"]), " ")))
 
 
 def chunk_sections(

@@ -77,3 +77,20 @@ def test_chunk_records_carry_provenance(spark):
     row = chunking.as_chunk_records(chunking.chunk_sections(sections), manifest).first()
     assert (row.chunk_id, row.title, row.source_url, row.doc_version, row.section_path) == ("d::0003::00", "T", "u", "v2", "A > B")
     assert len(row) == 14
+
+
+def test_packing_time_follows_the_number_of_sentences():
+    import time
+
+    rng = random.Random(3)
+    took = {}
+    for n in (8_000, 32_000):
+        sizes = [rng.choice([1, 3, 8, 20, 60, 400]) for _ in range(n)]
+        best = []
+        for _ in range(5):
+            start = time.perf_counter()
+            spans = chunking.packed_spans(sizes, 320, 48)
+            best.append(time.perf_counter() - start)
+        took[n] = min(best)
+        assert {i for a, b in spans for i in range(a, b)} == set(range(n))
+    assert took[32_000] <= 5 * took[8_000]
