@@ -3,6 +3,9 @@
 Every tree splits space along random directions, one per level, at the median of a sample. A query
 searches all trees through one priority queue, nearest leaves first, whichever tree they belong to; the rows of
 the leaves found are ranked by their exact inner product.
+
+Leaves are ranked in passes, in the order in which the queue gave them. After each pass the k-th score of a query is a
+bar that no row of its final answer is below, so later tasks tell only rows at or above it and nothing is lost.
 """
 
 from __future__ import annotations
@@ -17,16 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checked_broadcast, stored
+from .common import checked_broadcast, forget, stored
 from .vectors import matrix, usable
 
 #: Rows that fitting may take, trees, and rows a leaf should hold.
-FIT_ROWS, TREES, LEAF_ROWS = 20_000, 4, 32
-#: Share of all leaves a query visits; vectors spread evenly in 64 dimensions need so many for a recall of 0.9.
-VISITED = 0.35
-#: Leaves side by side in a tree that are ranked together, as a power of two, and rows of them that one task
-#: takes; fuller ones are dealt over several tasks.
-BLOCK_BITS, TASK_ROWS = 6, 4096
+FIT_ROWS, TREES, LEAF_ROWS = 20_000, 8, 64
+#: A query visits VISITED * leaves ** POWER of the leaves of all trees. For vectors spread evenly in 64 dimensions recall is
+#: then 0.95 to 0.92 from ten thousand to two hundred thousand rows, while the share of all rows ranked falls from 0.58 to 0.29.
+VISITED, POWER = 1.5, 0.65
+#: Where a pass over the visited leaves ends, as parts of their number.
+PASSES = (1 / 64, 1 / 8, 1)
+#: Leaves side by side in a tree that are ranked together, as a power of two, and rows and queries of them that one
+#: task takes; fuller ones are dealt over several tasks.
+BLOCK_BITS, TASK_ROWS, TASK_QUERIES = 6, 4096, 16_384
 
 
 @dataclass(frozen=True)
@@ -99,9 +105,9 @@ def nearest(df: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embe
     """query_id, rank, key, score: the k rows of largest inner product found for every row whose key is divisible by `every`.
 
     The query's own row is no candidate. Rows with null keys or vectors that are null, zero, or hold null or
-    non-finite parts take no part. Ties go to the smaller key; equal vectors share a leaf, so a tie among
-    copies is exact. Repeated keys: copies of one (key, vector) count once. Other columns are ignored; an
-    empty table gives an empty result.
+    non-finite parts take no part; vectors of unequal length are an error. Ties go to the smaller key; equal vectors
+    share a leaf, so a tie among copies is exact. Repeated keys: copies of one (key, vector) count once. Other columns
+    are ignored; an empty table gives an empty result.
     """
     rows = stored(usable(df, key, vector).distinct())
     spark, total = df.sparkSession, rows.count()
@@ -110,7 +116,8 @@ def nearest(df: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embe
     depth = max(0, int(np.ceil(np.log2(max(1, total) / leaf_rows))))
     forest = fit(sample, depth, trees)
     shared = checked_broadcast(spark, forest, forest.cuts.nbytes + forest.directions.nbytes, 512 << 20)
-    number = max(1, int(np.ceil(visited * trees * (1 << depth))))
+    number = min(trees << depth, int(np.ceil(visited * (trees << depth) ** POWER)))
+    ends = [int(np.ceil(number * part)) for part in PASSES]
 
     def blocks(tree, leaf):
         return tree + (leaf >> BLOCK_BITS) * trees
@@ -127,51 +134,78 @@ def nearest(df: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embe
     def to_visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                who, where, which = [], [], []
-                for i, query in enumerate(matrix(batch.column(1))):
-                    by_block: dict[int, list[int]] = {}
-                    for t, leaf in search(shared.value, query, number):
-                        by_block.setdefault(blocks(t, leaf), []).append(leaf)
-                    who += [i] * len(by_block)
-                    where += by_block.keys()
-                    which += by_block.values()
-                again = pa.array(who, pa.int64())
+                who, turn, where, which = [], [], [], []
+                for query, asked in zip(batch.column(0).to_pylist(), matrix(batch.column(1))):
+                    found = search(shared.value, asked, number)
+                    for n, (start, end) in enumerate(zip([0, *ends], ends)):
+                        by_block: dict[int, list[int]] = {}
+                        for t, leaf in found[start:end]:
+                            by_block.setdefault(blocks(t, leaf), []).append(leaf & ((1 << BLOCK_BITS) - 1))
+                        who += [query] * len(by_block)
+                        turn += [n] * len(by_block)
+                        where += by_block.keys()
+                        which += by_block.values()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(where, pa.int64()), pa.array(which, pa.list_(pa.int64())), batch.column(0).take(again), batch.column(1).take(again)],
-                    ["block", "leaves", "id", "v"])
-
-    placed = rows.mapInArrow(to_leaves, "block long, leaf long, id long, v array<double>")
-    visits = rows.where(F.col("id") % every == 0).repartition("id").mapInArrow(to_visits, "block long, leaves array<long>, id long, v array<double>")
-    full = placed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("parts")).where("parts > 1")
-    parts = F.coalesce("parts", F.lit(1))
-    homes = placed.join(full, "block", "left").select("block", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), "leaf", "id", "v")
-    calls = visits.join(full, "block", "left").select("block", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "leaves", "id", "v")
+                    [pa.array(who, pa.int64()), pa.array(turn, pa.int32()), pa.array(where, pa.int64()), pa.array(which, pa.list_(pa.int8()))],
+                    ["id", "turn", "block", "leaves"])
 
     def rank(key, home: pa.Table, call: pa.Table) -> pa.Table:
-        own, asked = matrix(home.column("v")), matrix(call.column("v"))
         out = [pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        own, asked = matrix(home.column("v")), matrix(call.column("v"))
         if len(own) and len(asked):
             ids, who, leaf = home.column("id").to_numpy(), call.column("id").to_numpy(), home.column("leaf").to_numpy() & ((1 << BLOCK_BITS) - 1)
-            wanted = call.column("leaves").combine_chunks()
+            wanted, least = call.column("leaves").combine_chunks(), call.column("bar").to_numpy()
             seen = np.zeros((len(who), 1 << BLOCK_BITS), dtype=bool)
-            seen[np.repeat(np.arange(len(who)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy() & ((1 << BLOCK_BITS) - 1)] = True
+            seen[np.repeat(np.arange(len(who)), np.diff(wanted.offsets.to_numpy())), wanted.flatten().to_numpy()] = True
             for lot in range(0, len(who), 256):
-                q, names = asked[lot:lot + 256], who[lot:lot + 256]
+                q, names, bar = asked[lot:lot + 256], who[lot:lot + 256], least[lot:lot + 256]
                 rough = q @ own.T
                 rough[~seen[lot:lot + 256][:, leaf] | (names[:, None] == ids[None, :])] = -np.inf
                 at = max(0, len(ids) - k)
-                bar = np.partition(rough, at, axis=1)[:, at]
-                i, j = np.nonzero((rough >= (bar - 1e-9 * (1 + np.abs(np.where(np.isfinite(bar), bar, 0))))[:, None]) & (rough > -np.inf))
+                near = np.maximum(bar, np.partition(rough, at, axis=1)[:, at])
+                i, j = np.nonzero((rough >= (near - 1e-9 * (1 + np.abs(np.where(np.isfinite(near), near, 0))))[:, None]) & (rough > -np.inf))
                 score = np.zeros(len(i))
                 for d in range(own.shape[1]):  # one order of addition for all rows, so equal vectors tie exactly
                     score += q[i, d] * own[j, d]
                 order = np.lexsort((ids[j], -score, i))
                 i, j, score = i[order], j[order], score[order]
-                best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                best = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (score >= bar[i])
                 out.append(pa.table({"query_id": names[i[best]], "id": ids[j[best]], "score": score[best]}))
         return pa.concat_tables(out)
 
-    best = homes.groupBy("block", "part").cogroup(calls.groupBy("block", "part")).applyInArrow(rank, "query_id long, id long, score double")
-    once = best.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    placed_at = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return once.withColumn("rank", placed_at.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    cores = spark.sparkContext.defaultParallelism
+    queries = rows.where(F.col("id") % every == 0)
+    asked = queries.repartition(4 * cores, "id").mapInArrow(to_visits, "id long, turn int, block long, leaves array<tinyint>")
+    visits = stored(asked.repartition(4 * cores, "turn", "block"))
+    placed = stored(rows.mapInArrow(to_leaves, "block long, leaf long, id long, v array<double>"))
+    parts = F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("parts")
+    shares = F.ceil(F.count(F.lit(1)) / TASK_QUERIES).cast("int").alias("shares")
+    held = placed.groupBy("block").agg(parts)
+    best = None
+    for n in range(len(ends)):
+        if n and ends[n] == ends[n - 1]:
+            continue
+        here = visits.where(F.col("turn") == n).drop("turn")
+        dealt = stored(here.groupBy("block").agg(shares).join(held.hint("shuffle_hash"), "block"))
+        several = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        which = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+        homes = placed.join(dealt.hint("shuffle_hash"), "block").select("block", which("parts").alias("part"), several("shares").alias("share"), "leaf", "id", "v")
+        calls = here.join(queries.hint("shuffle_hash"), "id")
+        if best is None:
+            calls = calls.withColumn("bar", F.lit(float("-inf")))
+        else:
+            bars = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bar"))
+            calls = calls.join(bars.hint("shuffle_hash"), "id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+        calls = calls.join(dealt.hint("shuffle_hash"), "block").select("block", several("parts").alias("part"), which("shares").alias("share"), "leaves", "id", "v", "bar")
+        keys = ("block", "part", "share")
+        told = homes.groupBy(*keys).cogroup(calls.groupBy(*keys)).applyInArrow(rank, "query_id long, id long, score double")
+        if best is not None:
+            told = told.union(best.select("query_id", "id", "score"))
+        once = told.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        placed_at = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        before, best = best, stored(once.withColumn("rank", placed_at.cast("int")).where(F.col("rank") <= k))
+        for table in (dealt, *([before] if before is not None else [])):
+            forget(table)
+    for table in (visits, placed, rows):
+        forget(table)
+    return best.select("query_id", "rank", F.col("id").alias(key), "score")

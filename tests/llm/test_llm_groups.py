@@ -210,6 +210,26 @@ def test_forest_recall_on_the_given_vectors(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_forest_recall_and_rows_told_at_20000_vectors(spark):
+    rng = np.random.default_rng(17)
+    x = rng.standard_normal((20_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1:2_000] = x[0]  # a tenth of all rows are one vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in projection_forest.nearest(df, every=200).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    x, hits = x.astype(float), 0
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = np.lexsort((np.arange(len(x)), -score.round(12)))[:20].tolist()
+        if q < 2_000:
+            assert [v for _, v in sorted(found)] == best
+        hits += len({v for _, v in found} & set(best))
+    assert len(got) == 100 and hits / 2_000 >= 0.9
+
+
 def test_hashing_search_is_exact(spark):
     rng = random.Random(8)
     codes = {i: rng.getrandbits(63) for i in range(400)} | {i: 12345 for i in range(400, 460)} | {500: -1, 501: 0}
