@@ -229,8 +229,7 @@ SQL["typeset_sections"] = f"WITH {_RAW_SECTIONS} SELECT * FROM rawsec"
 
 _PARENT = "CASE WHEN contains({0}, ' > ') THEN regexp_extract({0}, '(?s)^(.*) > ', 1) ELSE {0} END"
 
-SQL["typeset_folded"] = f"""
-WITH RECURSIVE {_RAW_SECTIONS},
+_FOLDED = f"""{_RAW_SECTIONS},
 ord AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section) AS o FROM rawsec WHERE NOT front),
 fold AS (
   SELECT doc_id, o, section, 0::BIGINT AS grp, path AS now FROM ord WHERE o = 1
@@ -238,12 +237,14 @@ fold AS (
   SELECT r.doc_id, r.o, r.section, f.grp + (NOT j.joins)::INT, CASE WHEN j.joins THEN {_PARENT.format('r.path')} ELSE r.path END
   FROM fold f JOIN ord r ON r.doc_id = f.doc_id AND r.o = f.o + 1,
     LATERAL (SELECT length(r.text) < 200 AND contains(r.path, ' > ')
-      AND {_PARENT.format('r.path')} = {_PARENT.format('f.now')} AS joins) j)
-SELECT doc_id, grp::INT AS seq, max_by(now, f.o) AS path, min_by(page_start, f.o) AS page_start, max(page_end) AS page_end,
+      AND {_PARENT.format('r.path')} = {_PARENT.format('f.now')} AS joins) j),
+folded AS (SELECT doc_id, grp::INT AS seq, max_by(now, f.o) AS path, min_by(page_start, f.o) AS page_start, max(page_end) AS page_end,
   string_agg(CASE WHEN first THEN text ELSE regexp_replace(path, '(?s)^.* > ', '') || ': ' || text END, chr(10) ORDER BY f.o) AS text
 FROM (SELECT f.*, r.path, r.page_start, r.page_end, r.text,
     row_number() OVER (PARTITION BY f.doc_id, grp ORDER BY f.o) = 1 AS first
-  FROM fold f JOIN ord r ON r.doc_id = f.doc_id AND r.o = f.o) f GROUP BY doc_id, grp"""
+  FROM fold f JOIN ord r ON r.doc_id = f.doc_id AND r.o = f.o) f GROUP BY doc_id, grp)"""
+
+SQL["typeset_folded"] = f"WITH RECURSIVE {_FOLDED} SELECT * FROM folded"
 
 SQL["scan_titles"] = rf"""
 WITH t AS (SELECT doc_id, source, list_filter(list_transform(list_slice(regexp_split_to_array(text, '\r\n|\n|\r'), 1, 40),
@@ -315,6 +316,36 @@ SELECT doc_id, sections, coalesce(chunks, 0) AS chunks, coalesce(tokens, 0) AS t
 SQL["ingest_skipped"] = f"""
 WITH RECURSIVE {_CHUNKS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM chunks)"""
 
+_CASED = r"array_to_string(list_transform(regexp_extract_all({0}, '\p{{L}}+|[^\p{{L}}]+'), lambda w: upper(w[1]) || lower(substr(w, 2))), '')"
+
+SQL["cover_titles"] = rf"""
+WITH {_TYPESET}, shown AS (SELECT *, max(size) OVER (PARTITION BY doc_id, page) AS largest FROM lines WHERE page <= 3),
+large AS (SELECT doc_id, page, line_no, regexp_replace(text, '\s+', ' ', 'g') AS text FROM shown WHERE size >= largest * 0.95
+  AND NOT regexp_matches(text, '(?i)^(page\s*(no\.?|\d+)|contents?|index|topics?|s\.?l?\.?\s*no\.?|table of contents|chapter\s*\d*|\d+)\.?$')),
+t AS (SELECT doc_id, page, string_agg(text, ' ' ORDER BY line_no) AS t FROM large GROUP BY ALL),
+c AS (SELECT doc_id, min_by(t, page) AS t FROM t WHERE length(t) BETWEEN 8 AND 130
+  AND len(list_filter(string_split(t, ' '), lambda w: regexp_matches(w, '\p{{L}}'))) >= 2 GROUP BY 1),
+f AS (SELECT doc_id, replace(replace(source || '_part-' || doc_id, '_', ' '), '-', ' ') AS name, CASE WHEN doc_id % 3 = 1 THEN source || ' collection ' || lang END AS kept FROM documents)
+SELECT doc_id, CASE WHEN t = upper(t) THEN {_CASED.format('t')} WHEN t IS NOT NULL THEN t WHEN kept IS NOT NULL THEN kept ELSE {_CASED.format('name')} END AS title
+FROM f LEFT JOIN c USING (doc_id)"""
+
+_READ = _FOLDED.replace("FROM alll WHERE text <> ''", "FROM alll WHERE text <> '' AND doc_id % 13 <> 0").replace(
+    "np AS (SELECT doc_id, max(page) AS n_pages FROM lines GROUP BY 1)",
+    "np AS (SELECT doc_id, (len(string_split(coalesce(text, ''), chr(10))) - 1) // 8 + 1 AS n_pages FROM documents)")
+
+SQL["typeset_ingest"] = f"""
+WITH RECURSIVE {_READ},
+chars AS (SELECT doc_id, coalesce(sum(length(text)), 0) / any_value(n_pages) >= 100 AS readable
+  FROM np LEFT JOIN lines USING (doc_id) GROUP BY doc_id),
+taken AS (SELECT f.* FROM folded f JOIN chars USING (doc_id) WHERE readable),
+src AS (SELECT doc_id AS key, seq, text FROM taken), {pack('src')},
+n AS (SELECT doc_id, count(*) AS sections FROM taken GROUP BY 1),
+c AS (SELECT key AS doc_id, count(*) AS chunks, sum(n_tokens)::BIGINT AS tokens FROM kept GROUP BY 1)
+SELECT doc_id, sections, CASE WHEN sections IS NOT NULL THEN coalesce(chunks, 0) END AS chunks,
+  CASE WHEN sections IS NOT NULL THEN coalesce(tokens, 0) END AS tokens,
+  CASE WHEN NOT readable THEN 'no text layer' WHEN chunks IS NULL THEN 'no chunks' END AS skipped
+FROM chars LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
 SQL["index_refresh"] = """
 SELECT doc_id::VARCHAR AS chunk_id, CASE WHEN doc_id % 10 IN (3, 5) THEN 'embedded' ELSE 'kept' END AS status
 FROM documents WHERE doc_id % 10 <> 4"""
@@ -700,6 +731,13 @@ n AS (SELECT *, sec // 86400 AS win, row_number() OVER (PARTITION BY user_id, se
 SELECT event_id, user_id, win::BIGINT AS "window", r <= 2 AS allowed, greatest(2 - r, 0)::BIGINT AS remaining,
   ((win + 1) * 86400 - sec)::BIGINT AS retry_after_s FROM n"""
 
+SQL["history_migrated"] = f"""
+WITH u AS (SELECT user_id AS id, 'u' || user_id || '@example.org' AS email, {ISO.format('min(ts)')} AS created_at,
+  {ISO.format('max(ts)')} AS last FROM events GROUP BY 1),
+m AS (SELECT id, email, created_at, CASE WHEN id % 3 = 0 THEN created_at WHEN id % 2 = 0 THEN last END AS verified_at,
+  CASE WHEN id % 3 = 2 AND id % 5 = 0 THEN last END AS password_changed_at, (id % 3 + 1)::INT AS schema_version FROM u)
+SELECT *, 'mixed' AS stage FROM m UNION ALL SELECT * REPLACE (3 AS schema_version), 'migrated' AS stage FROM m"""
+
 SQL["window_counts"] = """
 SELECT user_id, (epoch_us(ts) // 1000000 // 3600)::BIGINT AS "window", count(*) AS n, greatest(count(*) - 5, 0)::BIGINT AS refused
 FROM events GROUP BY ALL"""

@@ -34,9 +34,11 @@ from groundwell.operators.rerank import rerank
 from groundwell.operators.rewrite import rewrite
 from groundwell.plans import answer as answering
 from groundwell.plans import index as indexing
+from groundwell.plans import ingest as ingesting
 from groundwell.plans.reuse import reuse
 from groundwell.schemas import CITATIONS, CLAIMS, RESPONSE
 from groundwell.session import broadcast_if_small, cut_lineage, scratch_folder
+from groundwell.sources import versions
 from groundwell.sources.memo import ExpiringTable
 from groundwell.streaming import jobs
 
@@ -199,6 +201,39 @@ def scan_titles(spark, sf):
     )
 
 
+def _typeset_files(spark, sf) -> DataFrame:
+    """Documents as typeset files of eight lines a page, with the titles that programs store in them."""
+    number = F.col("doc_id").cast("string")
+    return table(spark, sf, "documents", "doc_id", "text", "source", "lang").select(
+        "doc_id", F.concat("source", F.lit("_part-"), number, F.lit(".pdf")).alias("filename"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"),
+        (F.floor((F.size(F.split(F.coalesce("text", F.lit("")), "\n")) - 1) / 8) + 1).cast("int").alias("n_pages"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Microsoft Word - "), number, F.lit(".docx")))
+        .when(F.col("doc_id") % 3 == 1, F.concat("source", F.lit(" collection "), "lang")).alias("stored_title"),
+    )
+
+
+@query
+def cover_titles(spark, sf):
+    return manifest.cover_titles(typeset_lines(spark, sf), _typeset_files(spark, sf))
+
+
+@query
+def typeset_ingest(spark, sf):
+    """Typeset files through the gated job; of every thirteenth no line could be read."""
+    files = _typeset_files(spark, sf)
+    none = F.lit(None).cast("string")
+    listed = files.select(
+        "doc_id", "filename", "sha256", F.col("filename").alias("title"), F.lit("").alias("url"),
+        F.lit("").alias("publisher"), none.alias("specialty"), none.alias("version"),
+    )
+    lines = typeset_lines(spark, sf).where(F.col("doc_id") % 13 != 0).join(files.select("doc_id", "filename"), "doc_id")
+    texts = files.select("filename", "sha256", F.lit("").alias("text")).where("false")
+    done = ingesting.ingest(listed, texts, lines, files=files)
+    why = F.when(F.col("reason").startswith("no extractable"), "no text layer").when(F.col("reason").isNotNull(), "no chunks")
+    return done.report.join(done.skipped, "doc_id", "full_outer").select("doc_id", "sections", "chunks", "tokens", why.alias("skipped"))
+
+
 # --- chunks -------------------------------------------------------------------------------------
 
 
@@ -790,6 +825,29 @@ def rate_limit(spark, sf):
     )
 
 
+@query
+def history_migrated(spark, sf):
+    """Accounts written under three schema versions, read in the newest one, before and after they are migrated."""
+    base = "id bigint, email string, created_at string"
+    users = table(spark, sf, "events", "user_id", "ts").groupBy(F.col("user_id").alias("id")).agg(
+        keys.iso_millis(F.min("ts")).alias("created_at"), keys.iso_millis(F.max("ts")).alias("_last")
+    ).select(
+        "id", F.format_string("u%d@example.org", "id").alias("email"), "created_at",
+        F.when(F.col("id") % 2 == 0, F.col("_last")).alias("verified_at"),
+        F.when(F.col("id") % 5 == 0, F.col("_last")).alias("password_changed_at"),
+    )
+    users, steps = cut_lineage(users), versions.account_steps()
+    old, new = (f"{scratch_folder(spark).rstrip('/')}/accounts-{uuid.uuid4().hex}" for _ in range(2))
+    for version in (1, 2, 3):
+        versions.write_version(users.where(F.col("id") % 3 == version - 1), old, version, steps, ["id", "email", "created_at"])
+    versions.migrate(spark, old, new, steps, base)
+    both = [
+        versions.read_migrated(spark, folder, steps, base).withColumn("stage", F.lit(stage))
+        for folder, stage in ((old, "mixed"), (new, "migrated"))
+    ]
+    return both[0].union(both[1])
+
+
 @query
 def window_counts(spark, sf):
     return quota.window_counts(table(spark, sf, "events", "user_id", "ts"), 5, 3600, "user_id")

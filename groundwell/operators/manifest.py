@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.bind import let
 from ..functions.text import strip, title_case
@@ -11,6 +12,13 @@ from ..functions.text import strip, title_case
 # What a usable title looks like.
 TITLE_CHARS = (8, 130)
 TITLE_LINES = 40
+# Pages that may carry a cover title, the share of the largest size its lines have, lines that are none,
+# and stored titles that only name a program or a file.
+COVER_PAGES, COVER_SIZE = 3, 0.95
+NOT_A_COVER_LINE = (
+    r"(?i)^(page\s*(no\.?|\d+)|contents?|index|topics?|s\.?l?\.?\s*no\.?|table of contents|chapter\s*\d*|\d+)\.?$"
+)
+PROGRAM_TITLE = r"(?i)^(microsoft word|untitled|document\d*|book\d*|\d+)|\.(docx?|cdr|indd|pdf)$"
 
 
 def diff(manifest: DataFrame, found: DataFrame) -> DataFrame:
@@ -32,11 +40,43 @@ def diff_summary(statuses: DataFrame) -> DataFrame:
     return one.withColumn("clean", (F.col("missing") + F.col("unlisted") + F.col("changed")) == 0)
 
 
+def name_title(filename: Column) -> Column:
+    """A file name without its ending, tidied."""
+    return title_case(strip(F.translate(F.regexp_replace(filename, r"\.[^.]*$", ""), "_-", "  ")))
+
+
+def cover_titles(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """doc_id, title for every row of files(doc_id, filename, stored_title), from typeset lines(doc_id, line_no, page, size, text).
+
+    The first of the first three pages whose largest lines, joined in reading order, read like a title gives it; else
+    the stored title, unless it names a program; else the file name. Only lines of those pages are shuffled, and a
+    page's lines are gathered only where together they are short enough for a title. Documents without lines count.
+    """
+    page = W.partitionBy("doc_id", "page")
+    shown = lines.where(F.col("page") <= COVER_PAGES).select(
+        "doc_id", "page", "line_no", F.round("size", 1).alias("size"), strip(F.col("text")).alias("text")
+    ).where(F.col("text") != "")
+    large = (
+        shown.withColumn("_largest", F.max("size").over(page))
+        .where((F.col("size") >= F.col("_largest") * COVER_SIZE) & ~F.col("text").rlike(NOT_A_COVER_LINE))
+        .withColumn("text", F.regexp_replace("text", r"\s+", " "))
+        .withColumn("_chars", F.sum(F.length("text") + 1).over(page) - 1)
+        .where(F.col("_chars").between(*TITLE_CHARS))
+    )
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ")
+    titles = large.groupBy("doc_id", "page").agg(joined.alias("t"))
+    titles = titles.where(F.size(F.filter(F.split("t", " "), lambda w: w.rlike(r"\p{L}"))) >= 2)
+    first = titles.groupBy("doc_id").agg(F.min_by("t", "page").alias("_cover"))
+    stored = strip(F.col("stored_title"))
+    return files.join(first, "doc_id", "left").select("doc_id", F.coalesce(
+        F.when(F.col("_cover") == F.upper("_cover"), title_case(F.col("_cover"))).otherwise(F.col("_cover")),
+        F.when((F.length(stored) > 3) & ~stored.rlike(PROGRAM_TITLE), stored),
+        name_title(F.col("filename")),
+    ).alias("title"))
+
+
 def text_title(text: Column, filename: Column) -> Column:
     """First title-shaped line among the first forty, else the tidied file name."""
-    stem = F.regexp_replace(filename, r"\.[^.]*$", "")
-    fallback = title_case(strip(F.translate(stem, "_-", "  ")))
-
     def title_like(t):
         named = F.filter(F.split(t, r"\s+"), lambda w: w.rlike(r"^\p{L}+$"))
         return F.length(t).between(*TITLE_CHARS) & (F.size(named) >= 2)
@@ -47,7 +87,7 @@ def text_title(text: Column, filename: Column) -> Column:
     )
     return let(
         F.get(shaped, F.lit(0)),
-        lambda t: F.when(t.isNull(), fallback)
+        lambda t: F.when(t.isNull(), name_title(filename))
         .when(t == F.upper(t), title_case(t))
         .otherwise(t),
     )

@@ -43,14 +43,19 @@ def ingest(
     strict: bool = True,
     settings: Settings = Settings(),
     counter: TokenCounter = count_tokens,
+    files: DataFrame | None = None,
 ) -> Ingested:
     """Chunks of every listed document whose file matches its recorded digest.
 
     texts: (filename, sha256, text); lines: typeset lines with (filename, sha256) in place of
-    doc_id. Documents without a text layer, and those giving no chunks, are named in `skipped`.
+    doc_id. files: the typeset files (filename, sha256, n_pages) beside their lines, which then need no digest; a file of
+    which no line could be read, as of scanned pages, is there as well and its pages count. Documents without a
+    text layer, and those giving no chunks, are named in `skipped`.
     """
     found = texts.select("filename", "sha256")
-    if lines is not None:
+    if files is not None:
+        found = found.unionByName(files.select("filename", "sha256"))
+    elif lines is not None:
         found = found.unionByName(lines.select("filename", "sha256").distinct())
     statuses = cut_lineage(m.diff(manifest, found))
     if strict:
@@ -64,10 +69,11 @@ def ingest(
     sizes = parsed.select("doc_id", "n_pages", "n_chars")
     if lines is not None:
         own = lines.drop("doc_id").join(names, "filename")
-        line_sizes = document_sizes(own)
+        pages = files.select("filename", "n_pages").join(names, "filename").select("doc_id", "n_pages") if files is not None else None
+        line_sizes = document_sizes(own, pages)
         readable = line_sizes.where(layered).select("doc_id")
         sections = sections.unionByName(
-            parse_lines(own).join(readable, "doc_id", "left_semi").withColumn("seq", F.col("seq").cast("int"))
+            parse_lines(own, pages).join(readable, "doc_id", "left_semi").withColumn("seq", F.col("seq").cast("int"))
         )
         sizes = sizes.unionByName(line_sizes.select("doc_id", "n_pages", "n_chars"))
 
