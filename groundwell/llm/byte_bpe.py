@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .common import batch_texts, checked_broadcast, gives_back
 
 #: Bytes encoded directly at a leaf of the tree.
-LEAF = 8
+LEAF = 12
 #: Distinct matches a worker remembers before it starts afresh.
 REMEMBERED = 300_000
 #: Bytes from which a window is encoded with a queue; rank of a pair that is no token.
