@@ -1,4 +1,4 @@
-"""Block-wise compression by dictionaries of one size."""
+"""Block-wise compression by dictionaries of one size, and scores of the gap between them alone."""
 
 import random
 
@@ -32,3 +32,34 @@ def test_a_dictionary_helps_all_along_a_text():
     blocks = len(text) / quality.BLOCK_BYTES
     assert saved[0] > 0 and saved[1] > 0.7 * blocks * saved[0] and quality.sizes([last], ours) < quality.sizes([last], b"-" * 4096)
     assert quality.sizes([b"", b"a"], ours).shape == (2,) and np.isfinite(quality.features([b"", text], ours, ours)).all()
+
+
+def test_scores_rest_on_the_gap_alone():
+    """Beside sizes from one frame a block, and a curve by grid search, written out plainly."""
+    import math
+
+    import zstandard
+
+    good, bad = texts(5, vocabulary(5, 400), [90] * 80), texts(6, vocabulary(6, 400), [90] * 60)
+    model = quality.fit_texts(good, bad)
+
+    def size(text, content):
+        total = 0
+        for i in range(0, max(1, len(text)), quality.BLOCK_BYTES):
+            made = zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False,
+                                            dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+            total += len(made.compress(text[i:i + quality.BLOCK_BYTES]))
+        return total
+
+    def gap(text):
+        return (size(text, model.bad) - size(text, model.good)) / (len(text) + quality.FRAME_BYTES)
+
+    others = texts(7, vocabulary(5, 400), [5, 90, 3000]) + texts(8, vocabulary(6, 400), [5, 90, 3000])
+    slope, base = model.curve
+    got = quality.scores(others, model)
+    assert np.allclose(got, [1 / (1 + math.exp(-max(-30, min(30, slope * gap(t) + base)))) for t in others])
+    assert (got[:3] > 0.5).all() and (got[3:] < 0.5).all() and quality.scores([b""], model)[0] == model.empty
+
+    rest = [(gap(t), y) for side, y in ((good[1::2], 1), (bad[1::2], 0)) for t in side]
+    loss = lambda a, b: sum(math.log1p(math.exp(-(2 * y - 1) * (a * x + b))) for x, y in rest)
+    assert loss(slope, base) <= min(loss(slope * f, base + d) for f in (0.5, 0.8, 1) for d in (-1, -0.1, 0.1, 1)) + 0.1
