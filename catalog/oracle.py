@@ -400,6 +400,10 @@ _MEANS = f"{_UNITS}, mv AS (SELECT label, list(x ORDER BY pos) AS v FROM means G
 SQL["cosine_topk"] = f"""
 WITH {_MEANS}, asked AS (SELECT label AS qid, v FROM mv), {cosine('asked', S.retrieve_k)} SELECT * FROM near"""
 
+_LATER = "(SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label >= 5)"
+SQL["cosine_filtered"] = f"""
+WITH {_MEANS}, asked AS (SELECT label AS qid, v FROM mv), {cosine('asked', S.retrieve_k, _LATER)} SELECT * FROM near"""
+
 SQL["blend_topk"] = f"""
 WITH {_MEANS}, ml AS (SELECT label, sqrt(sum(x * x)) AS n FROM means GROUP BY 1),
 um AS (SELECT label, pos, x / n AS x FROM means JOIN ml USING (label)),

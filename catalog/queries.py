@@ -347,6 +347,16 @@ def cosine_topk(spark, sf):
     return dense.cosine_topk(asked, _stored(spark, sf), K)
 
 
+@query
+def cosine_filtered(spark, sf):
+    """The mean direction of each label asked against the vectors of later labels only; rows without a label never count."""
+    asked = dense.mean_unit_vector(_embeddings(spark, sf), "label", "embedding").select(
+        F.col("label").alias("qid"), F.col("mean").alias("vector")
+    )
+    stored = _embeddings(spark, sf).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+    return dense.cosine_topk(asked, stored, K, where=F.col("label") >= 5)
+
+
 @query
 def blend_topk(spark, sf):
     """Each label's mean blended with the next label's, as a question with its hypothetical answer."""

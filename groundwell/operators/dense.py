@@ -1,8 +1,9 @@
 """Exact cosine search: every question vector against every stored vector.
 
 The corpus is read once and never shuffled. Question vectors whose number is proven small are
-broadcast as one matrix; each Arrow batch of the corpus is multiplied with it and only the k best
-per question leave the batch. A larger question set goes through a grid of bounded cells instead,
+broadcast as one matrix; each Arrow batch of the corpus is multiplied with it, and a task keeps the k best
+of each question over all its batches, which are all that leaves it. A predicate on the stored rows
+comes before the search, so that it reaches the scan. A larger question set goes through a grid of bounded cells instead,
 so that no task holds more than one block of each side.
 """
 
@@ -13,12 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import as_double, unit
 from ..session import BROADCAST_MAX_BYTES
+from .best import RunningBest
 from .lexical import DIGITS, best_per_question
 
 ZERO_NORM = 1e-9  # fixed value: stands in for the length of a zero vector
@@ -64,8 +66,14 @@ def cosine_topk(
     k: int,
     stored_id: str = "doc_id",
     max_bytes: int = BROADCAST_MAX_BYTES,
+    where: Column | str | None = None,
 ) -> DataFrame:
-    """qid, <stored_id>, distance, rank from questions(qid, vector) and stored(<stored_id>, vector)."""
+    """qid, <stored_id>, distance, rank from questions(qid, vector) and stored(<stored_id>, vector).
+
+    `where` is a predicate on any columns of `stored`: only rows for which it is true take part, so a
+    question gets k of them wherever there are so many.
+    """
+    stored = stored if where is None else stored.where(where)
     asked = questions.where(F.col("vector").isNotNull()).select("qid", as_double(F.col("vector")).alias("vector"))
     kept = stored.where(F.col("vector").isNotNull()).select(stored_id, "vector")
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
@@ -92,18 +100,18 @@ def _by_broadcast(asked, kept, k, stored_id, schema) -> DataFrame:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked_ids, asked_matrix = shared.value
+        best, kind = RunningBest(len(asked_ids), k), None
         for batch in batches:
             if not batch.num_rows or not len(asked_ids):
                 continue
-            ids = batch.column(0)
-            found = _nearest(
-                asked_matrix, _scaled(_rows(batch.column(1))), ids.to_numpy(zero_copy_only=False), k
+            ids, kind = batch.column(0), batch.column(0).type
+            for q, s, d in _nearest(asked_matrix, _scaled(_rows(batch.column(1))), ids.to_numpy(zero_copy_only=False), k):
+                best.add(q, d, s, ids)
+        if best.ids is not None:
+            yield pa.RecordBatch.from_arrays(
+                [asked_ids.take(pa.array(best.question)), best.ids, pa.array(best.value)],
+                schema=pa.schema([*types, pa.field(stored_id, kind), pa.field("distance", pa.float64())]),
             )
-            for q, s, d in found:
-                yield pa.RecordBatch.from_arrays(
-                    [asked_ids.take(pa.array(q)), ids.take(pa.array(s)), pa.array(d)],
-                    schema=pa.schema([*types, pa.field(stored_id, ids.type), pa.field("distance", pa.float64())]),
-                )
 
     return kept.mapInArrow(near, schema)
 

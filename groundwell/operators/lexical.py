@@ -2,7 +2,9 @@
 
 Layout. The text never moves. Each task holds the weighted terms of a block of questions, whose number
 is bounded, counts them inside each document's own row, and keeps the k best documents of each
-question seen so far; only those leave the task, for one small exchange by question. No shuffle is keyed
+question seen so far; only those leave the task, for one small exchange by question. Documents of a batch are
+scored in lots of bounded work, whatever the number of questions, and the k-th score of a question is a bar for
+later ones. No shuffle is keyed
 by term except the vocabulary count, which is combined map-side first, so a term found in every
 document does not make a hot task.
 """
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 from ..functions.bind import unroll
 from ..functions.text import tokens
 from ..session import BROADCAST_MAX_ROWS, cut_lineage
+from .best import RunningBest
 
 # The constants of the scoring formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+LOT_CELLS = 1 << 20  # matches of a document's term and a question that are held at once, beside those of one document
 DIGITS = 6  # scores are compared after rounding, so summation order cannot change a ranking
 
 
@@ -111,6 +115,15 @@ def _question_blocks(terms: DataFrame, max_rows: int) -> list[DataFrame]:
     return [terms.where(block == b) for b in range(n_blocks)]
 
 
+def _lots(doc: np.ndarray, work: np.ndarray) -> Iterator[slice]:
+    """Stretches of rows sorted by document, each of whole documents and of about `LOT_CELLS` work."""
+    last = np.flatnonzero(np.append(doc[1:] != doc[:-1], True))
+    lot = np.cumsum(work)[last] // LOT_CELLS
+    ends = last[np.append(lot[1:] != lot[:-1], True)] + 1
+    for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+        yield slice(start, end)
+
+
 def bm25_best(corpus: Corpus, weighted: DataFrame, k: int) -> DataFrame:
     """qid, doc_id, score: of each task, the k best documents of each question of a block.
 
@@ -132,7 +145,7 @@ def bm25_best(corpus: Corpus, weighted: DataFrame, k: int) -> DataFrame:
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, terms, starts, asker, weight = shared.value
-        held_q, held_s, held_id = np.empty(0, np.int64), np.empty(0), None
+        held = RunningBest(len(names), k)
         for batch in batches:
             lists = batch.column(1)
             sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
@@ -144,21 +157,15 @@ def bm25_best(corpus: Corpus, weighted: DataFrame, k: int) -> DataFrame:
             doc, term = pairs // len(terms), pairs % len(terms)
             gain = tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * sizes[doc] / mean))
             many = starts[term + 1] - starts[term]  # questions that ask the term
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[term], many)
-            cells, cell = np.unique(np.repeat(doc, many) * len(names) + asker[at], return_inverse=True)
-            score = np.round(np.bincount(cell, weights=weight[at] * np.repeat(gain, many)), DIGITS)
-            d, q = cells[score > 0] // len(names), cells[score > 0] % len(names)
-            ids = batch.column(0).take(pa.array(d))
-            q, score = np.concatenate([held_q, q]), np.concatenate([held_s, score[score > 0]])
-            ids = ids if held_id is None else pa.concat_arrays([held_id, ids])
-            rank = np.empty(len(ids), np.int64)  # place of each id in their order
-            rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-            order = np.lexsort((rank, -score, q))
-            q, score, ids = q[order], score[order], ids.take(pa.array(order))
-            top = np.arange(len(q)) - np.searchsorted(q, q) < k
-            held_q, held_s, held_id = q[top], score[top], ids.filter(pa.array(top))
-        if held_id is not None:
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(held_q)), held_id, pa.array(held_s)], ["qid", "doc_id", "score"])
+            for lot in _lots(doc, many):
+                of, asked = doc[lot], many[lot]
+                at = np.arange(asked.sum()) - np.repeat(np.cumsum(asked) - asked, asked) + np.repeat(starts[term[lot]], asked)
+                cells, cell = np.unique(np.repeat(of, asked) * len(names) + asker[at], return_inverse=True)
+                score = np.round(np.bincount(cell, weights=weight[at] * np.repeat(gain[lot], asked)), DIGITS)
+                cells, score = cells[score > 0], score[score > 0]
+                held.add(cells % len(names), -score, cells // len(names), batch.column(0))
+        if held.ids is not None:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(held.question)), held.ids, pa.array(-held.value)], ["qid", "doc_id", "score"])
 
     return corpus.tokens.select("doc_id", "tokens").mapInArrow(best, schema)
 

@@ -4,11 +4,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from groundwell.functions import vectors
 from groundwell.operators import dense, fusion, lexical
+from groundwell.operators.best import RunningBest
 
 
 def corpus_rows(seed=5, n=60):
@@ -52,6 +54,33 @@ def test_bm25_equals_brute_force_also_in_blocks(spark, block):
     assert got == {q: w for q, w in want.items() if w}
 
 
+@pytest.mark.parametrize("cells", [1, 40])
+def test_bm25_scores_in_lots_of_bounded_work(spark, cells, monkeypatch):
+    rows = corpus_rows(seed=6, n=90)
+    asked = [(i, " ".join(f"t{(i * 7 + j) % 40}" for j in range(4)) + " the") for i in range(60)]
+    held = []
+    cut = lexical._lots
+
+    def lots(doc, work):
+        for lot in cut(doc, work):
+            held.append((int(work[lot].sum()), int(work[doc == doc[lot][0]].sum()), len(set(doc[lot]))))
+            yield lot
+
+    monkeypatch.setattr(lexical, "LOT_CELLS", cells)
+    # a plain call of the lots first: whole documents, bounded work, nothing left out
+    doc = np.repeat(np.arange(9), [3, 1, 4, 1, 5, 9, 2, 6, 5])
+    work = np.arange(len(doc)) % 7 + 1
+    covered = [i for lot in lots(doc, work) for i in range(lot.start, lot.stop)]
+    most = max(work[doc == d].sum() for d in set(doc))
+    assert covered == list(range(len(doc))) and all(total <= cells + most for total, _, _ in held)
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {}
+    for r in lexical.bm25_topk(lexical.build_corpus(docs), spark.createDataFrame(asked, "qid int, text string"), 5).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.doc_id, pytest.approx(r.score, abs=1e-6)))
+    want = {q: plain_bm25(rows, t, 5) for q, t in asked}
+    assert got == {q: w for q, w in want.items() if w}
+
+
 def test_bm25_of_an_empty_corpus_and_missing_text(spark):
     docs = spark.createDataFrame([(1, None)], "doc_id int, text string")
     asked = spark.createDataFrame(QUERIES, "qid int, text string")
@@ -98,6 +127,51 @@ def test_cosine_equals_brute_force_by_broadcast_and_by_grid(spark, max_bytes, mo
         assert [d for d, _ in rows] == pytest.approx([d for d, _ in want], abs=2e-6)
 
 
+def test_running_best_equals_a_sort_and_holds_k_rows_a_question():
+    rng = np.random.default_rng(8)
+    shown, best = [], RunningBest(7, 3)
+    for step in range(40):
+        n = int(rng.integers(0, 30))
+        ids = pa.array([f"d{int(x):03d}" for x in rng.permutation(200)[:25]])
+        q, v, at = rng.integers(0, 6, n), rng.integers(0, 8, n) / 4, rng.integers(0, len(ids), n)
+        best.add(q, v, at, ids)
+        shown += [(a, b, f"{ids[int(c)]}") for a, b, c in zip(q.tolist(), v.tolist(), at)]
+        assert len(best.question) <= 7 * 3
+    want = [r for x in range(7) for r in sorted(s for s in shown if s[0] == x)[:3]]
+    assert list(zip(best.question.tolist(), best.value.tolist(), best.ids.to_pylist())) == want
+    assert best.bar[6] == np.inf and all(best.bar[x] == [r for r in want if r[0] == x][-1][1] for x in range(6))
+
+
+@pytest.mark.parametrize("max_bytes", [1 << 20, 3 * 6 * 8])
+def test_cosine_takes_the_predicate_before_the_search(spark, max_bytes, tmp_path):
+    m, stored = vectors_table(spark)
+    stored.withColumn("kind", (F.col("doc_id") % 10).cast("int")).write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    asked = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in (0, 3, 9, 50, 299)], "qid int, vector array<float>")
+    some = [i for i in range(len(m)) if i % 10 == 3]
+    found = dense.cosine_topk(asked, stored, 5, max_bytes=max_bytes, where="kind = 3")
+    got = {}
+    for r in found.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.doc_id)
+    for q, ids in got.items():
+        assert ids == [some[i] for _, i in plain_cosine(m[q].astype(np.float32).astype(float), m[some], 5)]
+    assert set(got) == {0, 3, 9, 50, 299}
+    assert "EqualTo(kind,3)" in found._jdf.queryExecution().executedPlan().toString()
+    assert dense.cosine_topk(asked, stored, 5, max_bytes=max_bytes, where="kind = 77").count() == 0
+
+
+def test_no_more_than_k_rows_a_question_leave_a_task(spark, monkeypatch):
+    m, stored = vectors_table(spark)
+    asked = spark.createDataFrame([(i, [float(x) for x in m[i]]) for i in range(20)], "qid int, vector array<float>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(dense, "best_per_question", lambda near, k, order: near)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        assert dense.cosine_topk(asked, stored.repartition(3), 5).count() == 3 * 20 * 5
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_unit_mean_and_blend_exactly(spark):
     rows = spark.createDataFrame([(1, [3.0, 0.0, 0.0]), (1, [0.0, 5.0, 0.0]), (2, [0.0, 0.0, 0.0])], "k int, v array<double>")
     means = {r.k: r["mean"] for r in dense.mean_unit_vector(rows, "k", "v").collect()}
