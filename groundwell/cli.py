@@ -23,6 +23,7 @@ from .plans.ingest import CorpusNotClean, ingest
 from .schemas import TURN, USER
 from .session import build_session, cut_lineage
 from .sources import files
+from .sources.digests import read_digests
 from .sources.memo import Memory
 
 
@@ -53,7 +54,7 @@ def corpus(spark, args, data):
         _show(found.select("doc_id", "title", "filename"))
         return 0
     listed = files.read_manifest(spark, str(data / "manifest.yaml"))
-    statuses = manifest.diff(listed, files.read_folder(spark, str(data / "raw")))
+    statuses = manifest.diff(listed, read_digests(spark, str(data / "raw")))
     _show(statuses.orderBy("status", "filename"))
     return 0 if manifest.diff_summary(statuses).first()["clean"] else 1
 
