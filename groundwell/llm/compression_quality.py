@@ -24,7 +24,7 @@ from .common import batch_texts, checked_broadcast, gives_back, whole
 
 #: Labelled rows of each class that fitting may take, and bytes of text of each class.
 FIT_ROWS, FIT_BYTES = 1_500, 8 << 20
-#: Bytes of each dictionary, of the piece it takes of a text, of the blocks into which a text is cut, and the
+#: Bytes of each dictionary, of the piece it takes of a text at least, of the blocks into which a text is cut, and the
 #: compression level. Chosen by a fifth of the learning rows that the others were fitted without.
 DICTIONARY_BYTES, PIECE_BYTES, BLOCK_BYTES, LEVEL = 96 << 10, 512, 4 << 10, 12
 #: Added to a text's bytes under the gap, for the fixed cost of a frame.
@@ -82,14 +82,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return (*map(float, slopes), float(w[-1] - slopes @ middle))
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """The start of each text, as many as there is room for."""
-    return b"\n".join(t[:PIECE_BYTES] for t in texts)[:DICTIONARY_BYTES].ljust(8, b"\n")
+def dictionary(texts: list[bytes], size: int) -> bytes:
+    """The start of each text, as many as there is room for; of few texts more each, an even share of the room."""
+    piece = max(PIECE_BYTES, -(-size // max(1, len(texts))))
+    return b"\n".join(t[:piece] for t in texts)[:size].ljust(8, b"\n")
 
 
 def fit_texts(good: list[bytes], bad: list[bytes]) -> Model:
     """A model of labelled texts. Every second text of a class goes to its dictionary, the rest to the curve."""
-    by_good, by_bad = (dictionary(texts[::2]) for texts in (good, bad))
+    room = min(len(dictionary(texts[::2], DICTIONARY_BYTES)) for texts in (good, bad))
+    by_good, by_bad = (dictionary(texts[::2], room) for texts in (good, bad))
     size = min(len(by_good), len(by_bad))
     by_good, by_bad = by_good[:size], by_bad[:size]
 
