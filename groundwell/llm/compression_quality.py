@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are built, one from good and one from bad labelled texts. A text that the
 good one shortens more than the bad one resembles the good texts. The difference of the two sizes,
-divided by the text's own, is all that a score is made of: a logistic curve, fitted on labelled texts which
-are in neither dictionary, turns it into a probability. Both dictionaries have the same size and take a piece of each
+divided by the text's own, is all that a score is made of: a logistic curve, fitted on labelled texts under
+dictionaries without them, turns it into a probability. Both dictionaries have the same size and take a piece of each
 of many texts, and texts are compressed in blocks, so that a dictionary helps all along a text: within one frame it
 would be forgotten after the first part of a long one.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -88,20 +88,24 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
     return b"\n".join(t[:piece] for t in texts)[:size].ljust(8, b"\n")
 
 
-def fit_texts(good: list[bytes], bad: list[bytes]) -> Model:
-    """A model of labelled texts. Every second text of a class goes to its dictionary, the rest to the curve."""
-    room = min(len(dictionary(texts[::2], DICTIONARY_BYTES)) for texts in (good, bad))
-    by_good, by_bad = (dictionary(texts[::2], room) for texts in (good, bad))
+def dictionaries(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes]:
+    """A dictionary of either class, both of one size."""
+    room = min(len(dictionary(texts, DICTIONARY_BYTES)) for texts in (good, bad))
+    by_good, by_bad = (dictionary(texts, room) for texts in (good, bad))
     size = min(len(by_good), len(by_bad))
-    by_good, by_bad = by_good[:size], by_bad[:size]
+    return by_good[:size], by_bad[:size]
+
 
+def fit_texts(good: list[bytes], bad: list[bytes]) -> Model:
+    """A model of labelled texts. The curve is fitted on the gaps of each half by the dictionaries of the other half."""
     share = (len(good) + 0.5) / (len(good) + len(bad) + 1)
-    prior = (0.0, math.log(share / (1 - share)))
-    rest = [good[1::2], bad[1::2]]
-    if not all(rest):
-        return Model(by_good, by_bad, prior, share)
-    labels = np.repeat([1.0, 0.0], [len(r) for r in rest])
-    return Model(by_good, by_bad, _logistic(features(rest[0] + rest[1], by_good, by_bad), labels), share)
+    model = Model(*dictionaries(good, bad), (0.0, math.log(share / (1 - share))), share)
+    halves = [(good[i::2], bad[i::2]) for i in (0, 1)]
+    if not all(halves[1]):
+        return model
+    gaps = [features([*rest[0], *rest[1]], *dictionaries(*other)) for rest, other in zip(halves, halves[::-1])]
+    labels = np.concatenate([np.repeat([1.0, 0.0], [len(x) for x in rest]) for rest in halves])
+    return replace(model, curve=_logistic(np.concatenate(gaps), labels))
 
 
 def scores(texts: list[bytes], model: Model) -> np.ndarray:
