@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwell.llm import compression_quality, grouped_packing, near_copies, ownership_secrets, radix_repeats
+from groundwell.llm import compression_quality, grouped_packing, near_copies, ownership_secrets, radix_repeats, simhash_groups
 from groundwell.llm.common import stored
 from groundwell.llm.queries import quality_model, word_tokenizer
 
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return near_copies.keep_one(docs)
+    """The first document of each SimHash group, of up to three differing bits as in op10, widened by exact near copies (Jaccard 0.8)."""
+    return near_copies.keep_one(docs, bits=simhash_groups.MOST_BITS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, joined into groups.
+"""Near copies: SimHash groups, widened by texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Fingerprints of such texts differ in some ten bits of 64. No part of the popcount grid of `simhash_groups` is
-selective at that radius, so candidates meet where one of `BANDS` digests of `ROWS` least hashes each is equal (a pair
-of similarity 0.8 is missed with a chance of (1 - 0.8^4)^24, 3 in a million). The SimHash only says which candidate to
-try first; every link is checked by its exact similarity, and no pair of candidates is left out for its bits.
+On request the groups of `simhash_groups` come first: fingerprints that differ in so many bits link, as there, whatever
+else holds. Fingerprints of texts of a similarity of 0.8 differ in some ten bits of 64. No part of the popcount grid is
+selective at that radius, so links beyond it are looked for where one of `BANDS` digests of `ROWS` least hashes each is
+equal (a pair of similarity 0.8 is missed with a chance of (1 - 0.8^4)^24, 3 in a million). Among these candidates the
+SimHash says which to try first; every such link is checked by its exact similarity, and no pair of candidates is left
+out for its bits.
 
 Tables hold a few numbers per text. Only texts that share a band with another one have their shingles made again, from the
 text. Each text is first compared with the nearest of its bands' first and then last members, so that a large group
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_texts, components, forget, gives_back, spanning_edges, stored
-from .simhash_groups import SEED, bit_counts, keep_heads
+from .simhash_groups import SEED, fingerprint, keep_heads, near_links
 
 SHINGLE, BANDS, ROWS = 5, 24, 4
 #: Shingle hashes of one Arrow batch, and hashes that are multiplied at once.
@@ -70,7 +72,7 @@ def described(docs: DataFrame, key: str, text: str) -> DataFrame:
             for text in batch_texts(batch.column(1)):
                 every = shingles(text)
                 distinct = np.unique(every)
-                fp = int(np.packbits(bit_counts(every) * 2 > len(every), bitorder="little").view(np.int64)[0]) if len(every) else 0
+                fp = np.uint64(fingerprint(text)).view(np.int64)
                 met = np.array(bands(distinct) if len(every) else [], dtype=np.uint64).view(np.int64)
                 rows.append((digest(distinct), fp, len(distinct), met))
             if rows:
@@ -168,24 +170,35 @@ def between(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return few.groupBy("cell", "i", "j").cogroup(all_.groupBy("cell", "i", "j")).applyInArrow(run, "a long, b long").distinct()
 
 
-def links(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) that span every group of nodes (node, low, fp, n, bands): similar sets, or components with similar members. `fetch` makes the sets of (node, low)."""
+def simhash_links(marked: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) that span the nodes of each SimHash group: one fingerprint, or some that differ in at most `bits` bits. marked(node, fp)."""
+    prints = stored(marked.select("node", "fp").distinct())
+    belongs = components(near_links(prints.select("fp").distinct(), bits))
+    placed = prints.join(belongs.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("component", "fp").alias("c"))
+    heads = placed.groupBy("c").agg(F.min("node").alias("a"))
+    return placed.join(heads, "c").where("node != a").select("a", F.col("node").alias("b"))
+
+
+def links(nodes: DataFrame, fetch: Callable[[DataFrame], DataFrame], known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that span every group of nodes (node, low, fp, n, bands): `known` ones, similar sets, or components with similar members. `fetch` makes the sets of (node, low)."""
     every = nodes.select(F.explode("bands").alias("cell"), F.struct("node", "fp", "n").alias("m"))
     shared = every.groupBy("cell").agg(F.min("m").alias("first"), F.max("m").alias("last")).where("first.node != last.node")
     met = stored(every.join(shared.hint("shuffle_hash"), "cell").select("cell", "m", "first", "last"))
     members = met.select(F.col("m.node").alias("node")).distinct()
     sets = stored(fetch(nodes.select("node", "low").join(members.hint("shuffle_hash"), "node", "left_semi")))
-    tried, found, label = None, None, None
+    tried, found, label = None, known, None if known is None else stored(components(known))
     for lead in ("first", "last"):
         near = met.where(F.col("m.node") != F.col(f"{lead}.node")).where(_may(F.col("m"), F.col(lead)))
         near = near.select(F.col("m.node").alias("x"), F.col(f"{lead}.node").alias("y"), F.bit_count(F.col("m.fp").bitwiseXOR(F.col(f"{lead}.fp"))).alias("bits"))
         nearest = near.groupBy("x").agg(F.min(F.struct("bits", "y")).alias("y"))
         pairs = nearest.select(F.least("x", "y.y").alias("a"), F.greatest("x", "y.y").alias("b")).distinct()
         if label is not None:
-            pairs = _between(pairs, label).join(tried, ["a", "b"], "left_anti")
+            pairs = _between(pairs, label)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs)
         good = stored(similar(pairs, sets))
-        tried, found = (pairs, good) if tried is None else (tried.union(pairs), found.union(good))
+        tried, found = (pairs if tried is None else tried.union(pairs)), (good if found is None else found.union(good))
         label = stored(components(found))
     # what is left: members outside the component of their band's first, with all members of the band
     of = label.select(F.col("node").alias("_n"), "component").hint("shuffle_hash")
@@ -206,8 +219,8 @@ def _between(pairs: DataFrame, label: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, component_id (smallest key reachable over links), one row per row of `docs`.
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
+    """key, component_id (smallest key reachable over links), one row per row of `docs`. With `bits`, SimHash groups link as well.
 
     Texts with equal sets are one node whatever the number of copies; null and empty texts are one of them. Rows
     without a key belong to their group, whose id is the smallest key that is not null (null if there is none). Repeated
@@ -217,13 +230,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     marked = stored(described(docs, key, text))
     # equal sets have equal bands and sizes
     nodes = stored(marked.groupBy("node").agg(F.min(key).alias("low"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.any_value("bands").alias("bands")))
-    belongs = components(links(nodes, lambda wanted: sets_of(docs, wanted, key, text)))
+    known = None if bits is None else stored(simhash_links(marked, bits))
+    belongs = components(links(nodes, lambda wanted: sets_of(docs, wanted, key, text), known))
     node = nodes.join(belongs, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
     lowest = node.groupBy("component").agg(F.min("low").alias("component_id"))
     named = node.join(lowest, "component").select("node", "component_id")
     return marked.select(key, "node").join(named, "node").select(key, "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int | None = None) -> DataFrame:
     """One row of each group with all its columns, as `simhash_groups.keep_one` chooses it."""
-    return keep_heads(docs, groups(docs, key, text), key)
+    return keep_heads(docs, groups(docs, key, text, bits), key)

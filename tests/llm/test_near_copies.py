@@ -4,7 +4,7 @@ import random
 from fractions import Fraction
 
 import corpus_pipeline
-from groundwell.llm import near_copies
+from groundwell.llm import near_copies, simhash_groups
 
 
 def shingles(text):
@@ -68,3 +68,34 @@ def test_short_texts_nulls_repeats_and_small_blocks(spark, monkeypatch):
     got = sorted((str(r.doc_id), str(r.component_id)) for r in near_copies.groups(df).collect())
     assert got == sorted((str(k), str(low[g])) for (k, _), g in zip(rows, group))
     assert len({g for g in group if rows[g][0] is not None and rows[g][0] >= 5000}) > 3
+
+
+def test_the_stage_links_by_simhash_too(spark):
+    """Texts within three bits are one group whatever their similarity, and a group goes on from SimHash links to similar sets."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(6):
+        base = [rng.choice(words) for _ in range(120)]
+        texts.append(" ".join(base))
+        for _ in range(40):  # four words apart from one another: unlike by the bound, some of them within three bits
+            copy = list(base)
+            for at in rng.sample(range(120), 3):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy))
+    prints = [simhash_groups.fingerprint(t.encode()) for t in texts]
+    sets = [shingles(t) for t in texts]
+    group, only = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            near = (prints[a] ^ prints[b]).bit_count() <= 3
+            alike = Fraction(len(sets[a] & sets[b]), len(sets[a] | sets[b])) >= Fraction(4, 5)
+            only += near and not alike and group[a] != group[b]
+            if near or alike:
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    assert only
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in near_copies.groups(df, bits=3).collect()} == dict(enumerate(group))
+    plain = {r.component_id for r in near_copies.groups(df).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert kept == set(group) and kept < plain
