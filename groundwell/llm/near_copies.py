@@ -173,7 +173,7 @@ def between(placed: DataFrame, sets: DataFrame) -> DataFrame:
 def simhash_links(marked: DataFrame, bits: int) -> DataFrame:
     """Links (a, b) that span the nodes of each SimHash group: one fingerprint, or some that differ in at most `bits` bits. marked(node, fp)."""
     prints = stored(marked.select("node", "fp").distinct())
-    belongs = components(near_links(prints.select("fp").distinct(), bits))
+    belongs = components(stored(near_links(prints.select("fp").distinct(), bits)))
     placed = prints.join(belongs.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("component", "fp").alias("c"))
     heads = placed.groupBy("c").agg(F.min("node").alias("a"))
     return placed.join(heads, "c").where("node != a").select("a", F.col("node").alias("b"))

@@ -195,7 +195,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """
     marked = stored(fingerprints(docs, key, text, width))
     nodes = stored(marked.groupBy("fp").agg(F.min(key).alias("low")))
-    belongs = components(near_links(nodes, most))
+    # stored first: a task that compares and contracts at once holds two Python workers
+    belongs = components(stored(near_links(nodes, most)))
     node = nodes.join(belongs.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("component")
     )

@@ -99,3 +99,14 @@ def test_the_stage_links_by_simhash_too(spark):
     plain = {r.component_id for r in near_copies.groups(df).collect()}
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
     assert kept == set(group) and kept < plain
+
+
+def test_links_are_stored_before_they_are_contracted(spark, monkeypatch):
+    """Comparing cells and contracting links in one task would hold two Python workers for each core."""
+    given = []
+    for module in (near_copies, simhash_groups):
+        monkeypatch.setattr(module, "components", lambda edges, found=module.components: given.append(edges) or found(edges))
+    df = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "e f g h")], "doc_id long, text string")
+    assert simhash_groups.groups(df).count() == near_copies.groups(df, bits=3).count() == 3
+    for edges in (given[0], given[1]):
+        assert "MapInArrow" not in edges._jdf.queryExecution().executedPlan().toString()
