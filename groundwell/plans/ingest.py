@@ -11,7 +11,7 @@ from ..config import Settings
 from ..functions.text import TokenCounter, count_tokens
 from ..operators import manifest as m
 from ..operators.chunking import as_chunk_records, chunk_sections
-from ..operators.sections_lines import document_sizes, parse_lines
+from ..operators.sections_lines import document_sizes, page_counts, parse_lines
 from ..operators.sections_text import explode_sections, has_text_layer, parse_text
 from ..session import cut_lineage
 
@@ -68,13 +68,14 @@ def ingest(
     sections = explode_sections(parsed.where(layered))
     sizes = parsed.select("doc_id", "n_pages", "n_chars")
     if lines is not None:
-        own = lines.drop("doc_id").join(names, "filename")
+        own = cut_lineage(lines.drop("doc_id").join(names, "filename").drop("filename", "sha256"))
         pages = files.select("filename", "n_pages").join(names, "filename").select("doc_id", "n_pages") if files is not None else None
         line_sizes = document_sizes(own, pages)
-        readable = line_sizes.where(layered).select("doc_id")
-        sections = sections.unionByName(
-            parse_lines(own, pages).join(readable, "doc_id", "left_semi").withColumn("seq", F.col("seq").cast("int"))
-        )
+        line_sizes = cut_lineage(line_sizes)
+        # only lines of documents whose pages are given are parsed
+        readable = line_sizes.where(layered).select("doc_id").distinct()
+        known = (page_counts(own) if pages is None else pages).join(readable, "doc_id", "left_semi")
+        sections = sections.unionByName(parse_lines(own, known).withColumn("seq", F.col("seq").cast("int")))
         sizes = sizes.unionByName(line_sizes.select("doc_id", "n_pages", "n_chars"))
 
     sections = cut_lineage(sections)
