@@ -25,6 +25,8 @@ from .lexical import DIGITS, best_per_question
 
 ZERO_NORM = 1e-9  # fixed value: stands in for the length of a zero vector
 QUESTION_BLOCK = 256
+#: Distances that exist at once, and results that one task may hold: both grow with the questions of a cell.
+BLOCK_PAIRS, RESULT_ROWS = 1 << 20, 1 << 19
 CELL_ROWS = 50_000
 
 
@@ -45,8 +47,9 @@ def _nearest(questions: np.ndarray, stored: np.ndarray, ids: np.ndarray, k: int)
     id_rank = np.empty(len(ids), dtype=np.int64)
     id_rank[np.argsort(ids, kind="stable")] = np.arange(len(ids))
     keep = min(k, len(ids))
-    for start in range(0, len(questions), QUESTION_BLOCK):
-        distance = np.round(1.0 - questions[start : start + QUESTION_BLOCK] @ stored.T, DIGITS) + 0.0
+    block = max(1, min(QUESTION_BLOCK, BLOCK_PAIRS // max(1, len(ids))))
+    for start in range(0, len(questions), block):
+        distance = np.round(1.0 - questions[start : start + block] @ stored.T, DIGITS) + 0.0
         order = np.rint(distance * 10**DIGITS).astype(np.int64) * len(ids) + id_rank
         chosen = (
             np.argpartition(order, keep - 1, axis=1)[:, :keep]
@@ -83,10 +86,12 @@ def cosine_topk(
         T.StructField(stored_id, stored.schema[stored_id].dataType),
         T.StructField("distance", T.DoubleType()),
     ])
+    # a task holds the vectors of its questions and k results of each
+    together = max(1, min(max_bytes // (dim * 8), RESULT_ROWS // max(1, k)))
     near = (
         _by_broadcast(asked, kept, k, stored_id, schema)
-        if n * dim * 8 <= max_bytes
-        else _by_grid(asked, kept, k, stored_id, schema, n, max(1, max_bytes // (dim * 8)))
+        if n <= together
+        else _by_grid(asked, kept, k, stored_id, schema, n, together)
     )
     return best_per_question(near, k, [F.asc("distance"), F.asc(stored_id)])
 

@@ -209,3 +209,17 @@ def test_hybrid_ties_follow_dense_then_lexical_order(spark):
 def test_orphans(spark):
     known = spark.createDataFrame([("a",)], "doc_id string")
     assert [r.doc_id for r in fusion.orphans(ranking(spark, "a", "z"), known).collect()] == ["z"]
+
+
+def test_results_of_many_questions_are_bounded_by_cells(spark, monkeypatch):
+    """A task holds k results of each of its questions, so many questions go by cells however short their vectors."""
+    rng = np.random.default_rng(4)
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 3)))], "qid long, vector array<double>")
+    stored = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(30, 3)))], "doc_id long, vector array<double>")
+    want = dense.cosine_topk(asked, stored, 5).orderBy("qid", "rank").collect()
+    grid, by_grid = dense._by_grid, []
+    monkeypatch.setattr(dense, "RESULT_ROWS", 50)
+    monkeypatch.setattr(dense, "BLOCK_PAIRS", 60)
+    monkeypatch.setattr(dense, "_by_grid", lambda *a: by_grid.append(a[-1]) or grid(*a))
+    assert dense.cosine_topk(asked, stored, 5).orderBy("qid", "rank").collect() == want and len(want) == 200
+    assert by_grid == [10]
