@@ -283,10 +283,13 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
         window, key = _unpack(table, (8,))
         return _by_key(key, {"single": (np.arange(len(key)), window)})
 
-    # The texts move once, by key; both joins below read the same exchange.
+    # The texts move once, by key: both joins below read the same exchange. For that they must ask the same of it, so
+    # this one is no inner join, whose keys may not be null, and reads what is carried too.
     dealt = rows.repartition("key")
     asked = told.where(F.octet_length("unclear") > 0).select("key", "unclear")
-    last = dealt.join(asked.hint("shuffle_hash"), "key").select("key", "text", "unclear").mapInArrow(last_digit, packed)
+    last = dealt.join(asked.hint("shuffle_hash"), "key", "left").select(
+        "key", F.when(F.col("unclear").isNotNull(), F.col("text")).alias("text"), "unclear", *rows.columns[2:]
+    ).mapInArrow(last_digit, packed)
     singles = last.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: settle_windows(t), packed)
     singles = singles.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: windows_by_key(t), "key long, single binary")
 

@@ -178,6 +178,21 @@ def test_repeats_equal_brute_force(spark, seed):
     assert sorted(map(tuple, got), key=repr) == sorted(brute_repeats(rows), key=repr)
 
 
+def test_repeats_move_the_texts_once(spark):
+    rows = [(i, f"text {i} " + "the same long passage stands in all of these documents, word by word " * (i % 3), "en") for i in range(30)]
+    docs = spark.createDataFrame([*rows, (None, "x" * 200, "en"), (31, None, None)], "doc_id long, text string, lang string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for carry in (None, ("lang",)):
+            out = radix_repeats.repeats(docs, carry=carry)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("REPARTITION_BY_COL") == 2 and plan.count("ReusedExchange") == 1  # one exchange, named by both readers
+            assert out.count() == 32 and out.where("doc_id is null").first().n_removed == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_repeats_of_nothing(spark):
     assert radix_repeats.repeats(frame(spark, [])).count() == 0
     assert [r.n_removed for r in radix_repeats.repeats(frame(spark, [(1, None)])).collect()] == [0]
