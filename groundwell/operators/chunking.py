@@ -69,8 +69,13 @@ def pack_sentences(
     text: Column, target: int, overlap: int, counter: TokenCounter = count_tokens
 ) -> Column:
     """The packed pieces of a text, as an array of strings."""
-    sizes = F.transform(sentences(text), lambda s: counter(s).cast("int"))
-    both = F.struct(sentences(text).alias("sents"), sentence_spans(sizes, target, overlap).alias("spans"))
+    return pack_split(sentences(text), target, overlap, counter)
+
+
+def pack_split(sents: Column, target: int, overlap: int, counter: TokenCounter = count_tokens) -> Column:
+    """`pack_sentences` of the sentences of a text; `sents` is worked out twice unless it is a column."""
+    sizes = F.transform(sents, lambda s: counter(s).cast("int"))
+    both = F.struct(sents.alias("sents"), sentence_spans(sizes, target, overlap).alias("spans"))
     return let(both, lambda x: F.transform(
         x["spans"], lambda p: F.array_join(F.slice(x["sents"], p["start"] + 1, p["stop"] - p["start"]), " ")))
 
@@ -86,8 +91,8 @@ def chunk_sections(
     so gaps in it are normal.
     """
     packed = merge_short_tail(
-        pack_sentences(
-            F.col("text"), settings.chunk_target_tokens, settings.chunk_overlap_tokens, counter
+        pack_split(
+            F.col("_sents"), settings.chunk_target_tokens, settings.chunk_overlap_tokens, counter
         ),
         settings.chunk_min_tokens,
         counter,
@@ -97,7 +102,8 @@ def chunk_sections(
         packed, lambda p: F.struct(p.alias("text"), counter(p).cast("int").alias("n_tokens"))
     )
     kept = [c for c in sections.columns if c not in ("text", "heading_level")]
-    rows = unroll(sections.select(*kept, counted.alias("_pieces")), "_pieces", "_p", "piece")
+    split = sections.select(*kept, sentences(F.col("text")).alias("_sents"))
+    rows = unroll(split.select(*kept, counted.alias("_pieces")), "_pieces", "_p", "piece")
     return rows.where(F.col("_p.n_tokens") >= settings.chunk_drop_below_tokens).select(
         *kept, "piece", "_p.text", "_p.n_tokens",
         F.format_string("%s::%04d::%02d", F.col("doc_id").cast("string"), "seq", "piece").alias("chunk_id"),

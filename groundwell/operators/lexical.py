@@ -62,9 +62,12 @@ def vocabulary(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     Each document sends every distinct term once, and its length with the first of them, so the
     counts need no shuffle by document and are combined before the one by term.
     """
-    rows = docs.select(tokens(F.col(text)).alias("_t")).select(
-        F.size("_t").alias("dl"), F.array_distinct("_t").alias("_distinct")
-    )
+    return token_vocabulary(document_tokens(docs, doc_id, text))
+
+
+def token_vocabulary(tokenised: DataFrame) -> DataFrame:
+    """`vocabulary` of documents that are cut into `tokens` already."""
+    rows = tokenised.select(F.size("tokens").alias("dl"), F.array_distinct("tokens").alias("_distinct"))
     length = F.when(F.col("at") == 0, F.col("dl")).otherwise(0)
     return unroll(rows, "_distinct", "term", "at").groupBy("term").agg(
         F.count("*").alias("df"), F.sum(length).alias("n_tokens")
@@ -82,14 +85,19 @@ def token_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def build_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Corpus:
-    """Tokenise and count. The vocabulary is written once; only three totals reach the driver."""
-    vocab = cut_lineage(vocabulary(docs, doc_id, text))
-    n_docs = docs.count()
+    """Tokenise and count. Tokens and vocabulary are written once; only three totals reach the driver."""
+    return token_corpus(cut_lineage(document_tokens(docs, doc_id, text)))
+
+
+def token_corpus(tokenised: DataFrame) -> Corpus:
+    """The corpus of documents (doc_id, tokens). They are read several times, so pass them with their lineage cut."""
+    vocab = cut_lineage(token_vocabulary(tokenised))
+    n_docs = tokenised.count()
     totals = vocab.agg(
         F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"),
         F.coalesce(F.avg(raw_idf(F.col("df"), n_docs)), F.lit(0.0)).alias("mean_idf"),
     ).first()
-    return Corpus(document_tokens(docs, doc_id, text), vocab, n_docs, int(totals["n_tokens"]), float(totals["mean_idf"]))
+    return Corpus(tokenised.select("doc_id", "tokens"), vocab, n_docs, int(totals["n_tokens"]), float(totals["mean_idf"]))
 
 
 def corpus_idf(corpus: Corpus) -> DataFrame:

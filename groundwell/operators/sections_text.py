@@ -20,10 +20,12 @@ def _page_lines(page: Column, page_no: Column) -> Column:
     """Lines of one page with blank-neighbour flags and the page number in force."""
 
     def build(lines):
+        # Only markers are cast: a cast that fails costs far more than the match.
         numbered = F.transform(
             lines,
             lambda s, i: F.struct(
-                i.alias("i"), F.regexp_extract(s, PAGE_MARKER, 1).try_cast("int").alias("number")
+                i.alias("i"),
+                F.when(s.rlike(PAGE_MARKER), F.regexp_extract(s, PAGE_MARKER, 1).try_cast("int")).alias("number"),
             ),
         )
         marks = F.filter(numbered, lambda m: m["number"].isNotNull())

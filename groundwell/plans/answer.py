@@ -18,7 +18,7 @@ from ..config import Settings
 from ..functions.bind import let
 from ..functions.keys import cache_key, embedding_key
 from ..functions.outcome import unwrap
-from ..functions.text import overlap_share, sentences, words
+from ..functions.text import overlap_share, sentences, tokens, words
 from ..functions.vectors import blend
 from ..operators import confidence, corrective, lexical, output_gate, wording
 from ..operators.dense import cosine_topk, mean_unit_vector
@@ -105,13 +105,19 @@ def build_index(passages: DataFrame, providers: Providers = Providers(), setting
                 now_ms: int | None = None) -> Index:
     from ..operators.chunking import contextual_text, index_text
 
-    texts = passages.select(
-        F.col("chunk_id").alias("doc_id"),
-        index_text(F.col("title"), F.col("section_path"), F.col("text")).alias("text"),
-    )
-    whole = passages.select("chunk_id", contextual_text(F.col("title"), F.col("section_path"), F.col("text")).alias("_whole"))
-    vectors = embedded(whole, "_whole", providers, settings, memory, now_ms).select("chunk_id", "vector")
-    return Index(passages, lexical.build_corpus(texts), vectors)
+    parts = F.col("title"), F.col("section_path"), F.col("text")
+    # Tokens and vectors are made in one pass and written: counting, scoring and the search of vectors, whose filter
+    # for missing ones would call the provider a second time, only read them.
+    of_tokens = getattr(providers.embed, "of_tokens", None)
+    if memory is None and of_tokens is not None:  # both texts have the same tokens, but that the embedded one may be null
+        cut = passages.select("chunk_id", tokens(contextual_text(*parts)).alias("_cut"), index_text(*parts).alias("_text"))
+        whole = cut.select("chunk_id", F.coalesce("_cut", tokens(F.col("_text"))).alias("tokens"), of_tokens(F.col("_cut")).alias("vector"))
+    else:
+        whole = passages.select("chunk_id", tokens(index_text(*parts)).alias("tokens"), contextual_text(*parts).alias("_whole"))
+        whole = embedded(whole, "_whole", providers, settings, memory, now_ms)
+    made = cut_lineage(whole.select("chunk_id", "tokens", "vector"))
+    corpus = lexical.token_corpus(made.select(F.col("chunk_id").alias("doc_id"), "tokens"))
+    return Index(passages, corpus, made.select("chunk_id", "vector"))
 
 
 def _drafted(asked: DataFrame, providers: Providers, settings: Settings, memory: Memory | None, now_ms: int | None) -> DataFrame:

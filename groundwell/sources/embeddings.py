@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,32 +22,34 @@ EMBED_BATCH = 128  # fixed value: texts per provider call
 EmbedBatch = Callable[[list[str]], np.ndarray]
 
 
-def hashed_vectors(token_lists, dim: int) -> list[np.ndarray]:
-    """Signed feature hashing of tokens: the offline stand-in for an embedding model."""
-    known: dict[str, int] = {}
-
-    def slot(token: str) -> int:
-        if token not in known:
-            known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
-        return known[token]
-
-    out = []
-    for tokens in token_lists:
-        slots = np.array([slot(t) for t in tokens], dtype=np.int64)
-        signs = np.where((slots // dim) % 2 == 0, 1.0, -1.0)
-        out.append(np.bincount(slots % dim, weights=signs, minlength=dim).astype(np.float64))
-    return out
+def hashed_vectors(token_lists: pa.ListArray, dim: int) -> pa.ListArray:
+    """Signed feature hashing of tokens: the offline stand-in for an embedding model. Each distinct token is hashed once."""
+    words = token_lists.flatten().dictionary_encode()
+    slots = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in words.dictionary.to_pylist()], dtype=np.int64)
+    signs = np.where((slots // dim) % 2 == 0, 1.0, -1.0)
+    word = words.indices.to_numpy()
+    row = np.repeat(np.arange(len(token_lists)), token_lists.value_lengths().fill_null(0).to_numpy())
+    sums = np.bincount(row * dim + (slots % dim)[word], weights=signs[word], minlength=len(token_lists) * dim).astype(np.float64)
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(0, len(sums) + 1, dim), pa.int32()), pa.array(sums), mask=token_lists.is_null())
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[Column], Column]:
-    """Column function text -> vector; tokens are cut in the JVM, hashing runs on Arrow batches."""
+    """Column function text -> vector, null of a null text; tokens are cut in the JVM, hashing runs on Arrow batches.
+
+    Its `of_tokens` takes the tokens of a text that is cut already.
+    """
     from ..functions.text import tokens
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(token_lists: pd.Series) -> pd.Series:
-        return pd.Series(hashed_vectors(token_lists, dim))
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def embed(token_lists: pa.Array) -> pa.Array:
+        return hashed_vectors(token_lists, dim)
+
+    def of_text(text: Column) -> Column:
+        return embed(tokens(text))
 
-    return lambda text: embed(tokens(text))
+    of_text.of_tokens = embed
+    return of_text
 
 
 def embed_texts(texts: DataFrame, provider: EmbedBatch, batch: int = EMBED_BATCH) -> DataFrame:

@@ -25,6 +25,13 @@ def ask(spark, index, *queries, **more):
     return {r.qid: r for r in answering.answer(rows, index, **more).collect()}
 
 
+def test_the_index_is_embedded_and_tokenised_once(spark, index):
+    found = index.vectors.where(F.col("vector").isNotNull())._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in found and "regexp_extract_all" not in index.corpus.tokens._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.doc_id: r.tokens for r in index.corpus.tokens.collect()}
+    assert rows["d1"][:4] == ["guide", "body", "oral", "rehydration"] and index.vectors.count() == len(TEXTS) == index.corpus.n_docs
+
+
 def test_every_exit_gives_a_response(spark, index):
     out = ask(
         spark, index,

@@ -94,3 +94,9 @@ def test_packing_time_follows_the_number_of_sentences():
         took[n] = min(best)
         assert {i for a, b in spans for i in range(a, b)} == set(range(n))
     assert took[32_000] <= 5 * took[8_000]
+
+
+def test_sections_are_split_into_sentences_once(spark):
+    sections = spark.createDataFrame([("d", 0, "One. Two.")], "doc_id string, seq int, text string")
+    plan = chunking.chunk_sections(sections)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<=[.!?:])") == 1

@@ -162,3 +162,21 @@ def test_matches_a_plain_walk_over_random_lines(spark):
         else:
             has_body.add(number)
     assert got == {n: want.get(n, "Preamble") for n in has_body}
+
+
+def test_lone_letters_are_told_as_by_the_plain_pattern(spark):
+    import random
+
+    rng = random.Random(5)
+    signs = ["a", "B", "é", "\U00010400", "\U0001D400", " ", "\u3000", "\xa0", "1", ".", "\u4e00", "\U0001F600", "e\u0301"]
+    rows = spark.createDataFrame([("".join(rng.choice(signs) for _ in range(rng.randint(0, 14))),) for _ in range(3000)], "x string")
+    plain = F.regexp_count("x", F.lit(rf"(?<!{headings.VISIBLE})\p{{L}}(?!{headings.VISIBLE})"))
+    assert rows.where(plain >= 2).count() > 100
+    assert rows.where(plain != F.regexp_count("x", F.lit(headings.LONE_LETTER))).count() == 0
+
+
+def test_page_markers_of_every_kind_move_the_page(spark):
+    text = "first line\n[[ page 7 ]]\nsecond line\n\fPAGE 99999999999\nthird line\npage x\n< page 12 >\nfourth line"
+    lines = sections_text.text_lines(spark.createDataFrame([("d", text)], "doc_id string, text string")).first().lines
+    assert [(x.text, x.page) for x in lines] == [
+        ("first line", 1), ("second line", 7), ("third line", 2), ("page x", 2), ("fourth line", 12)]

@@ -115,6 +115,20 @@ def test_hashing_embedder_depends_on_tokens_only(spark):
     assert list(rows[0].v) == list(rows[1].v) and sum(map(abs, rows[2].v)) == 0 and len(rows[2].v) == 16
 
 
+def test_hashing_embedder_equals_a_plain_loop(spark):
+    texts = ["one two two three", None, "", "x", " ".join(f"w{i % 37}" for i in range(500))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    embed = hashing_embedder(16)
+    both = rows.select("i", embed(F.col("t")).alias("v"), embed.of_tokens(F.split("t", " ")).alias("w"))
+    for r in both.collect():
+        want = [0.0] * 16
+        for word in (texts[r.i] or "").split():
+            slot = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+            want[slot % 16] += 1.0 if slot // 16 % 2 == 0 else -1.0
+        assert (r.v is None) == (texts[r.i] is None) and (r.v is None or list(r.v) == want)
+        assert not texts[r.i] or list(r.w) == want
+
+
 def test_vector_service_batches_and_halves(spark):
     assert vector_service.batch_size(3072) == 14 and vector_service.batch_size(10**9) == 1
     sizes = []
